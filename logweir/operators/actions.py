@@ -15,6 +15,7 @@ from pyspark.sql import Column, functions as F
 from logweir.functions.fields import Entry, Write, json_literal
 from logweir.functions.regex import InvalidPattern, group_labels, java_pattern
 from logweir.functions.values import Value
+from logweir.functions.words import byte_prefix
 from logweir.operators.model import Action, Rule
 
 
@@ -76,16 +77,6 @@ def _string_ok(value: Value) -> Column | None:
     return None if value.string is None else ~value.present | value.string
 
 
-def byte_prefix(text: Column, limit: int) -> Column:
-    """The first ``limit`` bytes, moved back to a character boundary."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, limit)
-    # drop a trailing lead byte with too few continuation bytes
-    tail = F.hex(F.substring(F.encode(text, "UTF-8"), limit + 1, 1))
-    split_char = tail.rlike("^[89AB]")
-    clean = F.regexp_replace(F.hex(raw), "(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$", "")
-    return F.when(F.octet_length(text) <= limit, text).when(split_char, F.decode(F.unhex(clean), "UTF-8")).otherwise(F.decode(raw, "UTF-8"))
-
-
 def mask_matches(text: Column, pattern: str | None, character: str) -> Column:
     """Each match becomes ``character`` once per byte of the match; without a pattern the whole text does."""
     if pattern is None:

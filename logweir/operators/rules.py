@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweir.functions.fields import Entry
+from logweir.functions.steps import compute_once
 from logweir.operators.actions import Context, Effect, Handler, compile_action, touched, written
 from logweir.operators.conditions import Operator, compile_condition
 from logweir.operators.model import Condition, Rule, in_order
@@ -179,18 +180,6 @@ def _context(df: DataFrame, entry: Entry, rule: Rule, position: int, options: Op
     return Context(entry, rule, position, key, options.seed)
 
 
-def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``withColumns`` whose results are never inlined into later steps.
-
-    Catalyst pushes a filter through projections by substituting their expressions; over a chain of edits
-    that multiplies the expression at every step. A one-row generator stops the substitution, while
-    filters on untouched columns still pass.
-    """
-    names = list(dict.fromkeys([*df.columns, *columns]))
-    row = F.struct(*[c.alias(f"{name}") for name, c in columns.items()])
-    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row))).select(*names)
-
-
 def _run(df: DataFrame, rules: list[Rule], entry: Entry, options: Options) -> DataFrame:
     if _decides_only(rules, options):
         return _decide(df, rules, entry, options)
