@@ -102,7 +102,7 @@ def _mask(ctx: Context, action: Action) -> Effect:
         java = java_pattern(pattern) if pattern else None
     except InvalidPattern as err:
         return Effect(ok=~value.present, error=str(err))
-    masked = mask_matches(value.text, java, action.text("character", "*"))
+    masked = mask_matches(value.plain, java, action.text("character", "*"))
     return Effect(
         ok=_string_ok(value),
         error=f"field {name} is not a string",
@@ -116,8 +116,8 @@ def _truncate(ctx: Context, action: Action) -> Effect:
     if not name:
         return failed("truncate needs a field")
     value = ctx.entry.value(name)
-    size = F.octet_length(value.text)
-    cut = F.concat(byte_prefix(value.text, limit), F.lit(suffix))
+    size = F.octet_length(value.plain)
+    cut = F.concat(byte_prefix(value.plain, limit), F.lit(suffix))
     return Effect(
         ok=_string_ok(value),
         error=f"field {name} is not a string",
@@ -138,8 +138,8 @@ def _extract(ctx: Context, action: Action) -> Effect:
         return Effect(ok=~value.present, error=str(err))
     if group > len(group_labels(pattern)):
         return Effect(ok=_string_ok(value), error=f"source field {source} is not a string")
-    found = F.regexp_extract(value.text, java, group)
-    hit = value.present & value.text.rlike(java)
+    found = F.regexp_extract(value.plain, java, group)
+    hit = value.present & value.plain.rlike(java)
     return Effect(
         ok=_both(_string_ok(value), _unless(hit, ctx.entry.settable(target))),
         error=f"cannot extract {source} into {target}",

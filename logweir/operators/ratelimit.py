@@ -22,8 +22,21 @@ def _ticks(df: DataFrame, key: str, time: str, tick_ms: int) -> DataFrame:
     return df.withColumn("_tick", tick)
 
 
-def allowances(df: DataFrame, *, key: str, capacity: int, fill: int, tick_ms: int, time: str = "timestamp", block: int = BLOCK) -> DataFrame:
-    """Per key and non-empty tick: rows ``n`` and how many of them pass, ``allowed``."""
+def allowances(
+    df: DataFrame,
+    *,
+    key: str,
+    capacity: int,
+    fill: int,
+    tick_ms: int,
+    time: str = "timestamp",
+    block: int = BLOCK,
+    buckets: DataFrame | None = None,
+) -> DataFrame:
+    """Per key and non-empty tick: rows ``n``, how many of them pass (``allowed``) and the level ``left``.
+
+    ``buckets`` (key, level, tick) are levels an earlier run left behind; other keys start full.
+    """
     counts = _ticks(df, key, time, tick_ms).groupBy(key, "_tick").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("_block", F.floor(F.col("_tick") / block).cast("bigint"))
     cap, rate = F.lit(capacity).cast("bigint"), F.lit(fill).cast("bigint")
@@ -49,17 +62,23 @@ def allowances(df: DataFrame, *, key: str, capacity: int, fill: int, tick_ms: in
     # chain the blocks of a key: one small entry per block
     link = F.struct(F.col("_block").alias("block"), F.col("_first").alias("first"), F.col("_last").alias("last"), F.col("_effect").alias("f"))
     chain = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("block"), link.alias("link")))).alias("links"))
+    if buckets is None:
+        chain = chain.withColumns({"level": cap, "tick": F.lit(None).cast("bigint")})
+    else:
+        chain = chain.join(buckets.select(key, "level", "tick"), key, "left").withColumn("level", F.coalesce("level", cap))
 
     def enter(acc: Column, x: Column) -> Column:
         b = x["link"]
-        level = F.when(acc["last"].isNull(), cap).otherwise(F.least(acc["level"] + (b["first"] - acc["last"]) * rate, cap))
+        # rows older than the bucket's tick find the level as it is
+        gap = F.greatest(F.coalesce(b["first"] - acc["last"], F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+        level = F.least(acc["level"] + gap * rate, cap)
         after = F.least(b["f"]["top"], F.greatest(b["f"]["floor"], level + b["f"]["shift"]))
         out = F.concat(acc["out"], F.array(F.struct(b["block"].alias("block"), level.alias("level"))))
-        return F.struct(after.alias("level"), b["last"].alias("last"), out.alias("out"))
+        return F.struct(after.alias("level"), F.greatest(b["last"], acc["last"]).alias("last"), out.alias("out"))
 
     start = F.struct(
-        cap.alias("level"),
-        F.lit(None).cast("bigint").alias("last"),
+        F.col("level"),
+        F.col("tick").alias("last"),
         F.array().cast("array<struct<block:bigint,level:bigint>>").alias("out"),
     )
     entries = chain.select(key, F.explode(F.aggregate("links", start, enter, lambda a: a["out"])).alias("e")).select(
@@ -69,16 +88,16 @@ def allowances(df: DataFrame, *, key: str, capacity: int, fill: int, tick_ms: in
     def spend(acc: Column, t: Column) -> Column:
         level = F.least(acc["level"] + (t["tick"] - acc["tick"]) * rate, cap)
         passed = F.least(level, t["n"])
-        out = F.concat(acc["out"], F.array(F.struct(t["tick"].alias("tick"), t["n"].alias("n"), passed.alias("allowed"))))
+        out = F.concat(acc["out"], F.array(F.struct(t["tick"].alias("tick"), t["n"].alias("n"), passed.alias("allowed"), (level - passed).alias("left"))))
         return F.struct((level - passed).alias("level"), t["tick"].alias("tick"), out.alias("out"))
 
     begin = F.struct(
-        F.col("_level").alias("level"), F.col("_first").alias("tick"), F.array().cast("array<struct<tick:bigint,n:bigint,allowed:bigint>>").alias("out")
+        F.col("_level").alias("level"), F.col("_first").alias("tick"), F.array().cast("array<struct<tick:bigint,n:bigint,allowed:bigint,left:bigint>>").alias("out")
     )
     return (
         runs.join(entries, [key, "_block"])
         .select(key, F.explode(F.aggregate("ticks", begin, spend, lambda a: a["out"])).alias("t"))
-        .select(key, F.col("t.tick").alias("_tick"), F.col("t.n").alias("n"), F.col("t.allowed").alias("allowed"))
+        .select(key, F.col("t.tick").alias("_tick"), F.col("t.n").alias("n"), F.col("t.allowed").alias("allowed"), F.col("t.left").alias("left"))
     )
 
 
@@ -91,11 +110,26 @@ def rate_limit(
     tick_ms: int = 1000,
     time: str = "timestamp",
     order: tuple[str, ...] = ("timestamp", "id"),
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """The rows that pass: in each tick the first ``allowed`` ones of the key."""
-    allowed = allowances(df, key=key, capacity=capacity, fill=fill, tick_ms=tick_ms, time=time)
+    allowed = allowances(df, key=key, capacity=capacity, fill=fill, tick_ms=tick_ms, time=time, buckets=buckets)
+    return passing(df, allowed, key=key, capacity=capacity, tick_ms=tick_ms, time=time, order=order)
+
+
+def passing(df: DataFrame, allowed: DataFrame, *, key: str, capacity: int, tick_ms: int, time: str, order: tuple[str, ...]) -> DataFrame:
     place = Window.partitionBy(key, "_tick").orderBy(*order)
     ranked = _ticks(df, key, time, tick_ms).withColumn("_n", F.row_number().over(place))
     # no tick passes more than the capacity, which prunes inside each task before the shuffle
     ranked = ranked.filter(F.col("_n") <= capacity)
-    return ranked.join(allowed.drop("n"), [key, "_tick"]).filter(F.col("_n") <= F.col("allowed")).drop("_tick", "_n", "allowed")
+    return ranked.join(allowed.select(key, "_tick", "allowed"), [key, "_tick"]).filter(F.col("_n") <= F.col("allowed")).drop("_tick", "_n", "allowed")
+
+
+def levels(allowed: DataFrame, key: str, buckets: DataFrame | None = None) -> DataFrame:
+    """Bucket levels after a run, for the next one: key, level, tick. Keys without rows keep theirs."""
+    last = allowed.groupBy(key).agg(F.max_by("left", "_tick").alias("level"), F.max("_tick").alias("tick"))
+    if buckets is None:
+        return last
+    old = buckets.select(key, F.col("level").alias("_l"), F.col("tick").alias("_t"))
+    joined = last.join(old, key, "full_outer")
+    return joined.select(key, F.coalesce("level", "_l").alias("level"), F.greatest("tick", "_t").alias("tick"))

@@ -49,8 +49,10 @@ def logs_from_events(events: DataFrame) -> DataFrame:
     return out.withColumn("fields", F.from_json("fields_json", DYNAMIC))
 
 
-def logs(spark: SparkSession, folder: str) -> DataFrame:
-    return logs_from_events(table(spark, folder, "events"))
+def logs(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
+    """``wide``: for work that is heavy per row, see ``spread``."""
+    events = table(spark, folder, "events")
+    return logs_from_events(spread(events) if wide else events)
 
 
 def raw_lines_from_logs(df: DataFrame) -> DataFrame:
@@ -58,4 +60,14 @@ def raw_lines_from_logs(df: DataFrame) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return raw_lines_from_logs(logs(spark, folder))
+    return raw_lines_from_logs(logs(spark, folder, wide=True))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows that arrive in fewer tasks than the session has cores.
+
+    A file of one row group is one task however many cores wait. Inputs of a real size have more splits
+    than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

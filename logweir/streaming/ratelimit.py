@@ -1,44 +1,44 @@
-"""Token-bucket rate limit on a stream: one bucket of state per key."""
+"""Token-bucket rate limit on a stream: the buckets are a small table, one version per micro-batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame
 
+from logweir.operators import ratelimit
 
-def rate_limit(
-    logs: DataFrame, *, key: str = "service", capacity: int, fill: int, tick_ms: int = 1000, time: str = "timestamp", idle: str = "1 hour"
-) -> DataFrame:
-    """Rows that pass, in event time within each micro-batch. The state is a level and a tick; idle keys are forgotten.
 
-    Hot keys can be split by adding a column to ``key``'s values and dividing capacity and fill.
+def start(
+    logs: DataFrame,
+    sink: Callable[[DataFrame, int], None],
+    buckets: str,
+    checkpoint: str,
+    *,
+    key: str = "service",
+    capacity: int,
+    fill: int,
+    tick_ms: int = 1000,
+    time: str = "timestamp",
+    order: tuple[str, ...] = ("timestamp", "id"),
+    trigger: dict | None = None,
+):
+    """Give the passing rows of each micro-batch to ``sink``.
+
+    Version n of the bucket table is the state after batch n, so a repeated batch starts from the same
+    levels and passes the same rows.
     """
-    schema = T.StructType([f for f in logs.schema.fields])
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        level, tick = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(time, kind="stable")
-        ticks = rows[time].astype("datetime64[ms]").astype("int64") // tick_ms
-        keep = []
-        for now, n in ticks.groupby(ticks).size().items():
-            if tick is not None and now > tick:
-                level = min(capacity, level + (int(now) - tick) * fill)
-            # a row older than the bucket's tick takes from the level as it is
-            tick = max(int(now), tick) if tick is not None else int(now)
-            passed = min(level, int(n))
-            level -= passed
-            keep += [True] * passed + [False] * (int(n) - passed)
-        state.update((int(level), int(tick)))
-        state.setTimeoutDuration(idle_ms)
-        yield rows[keep]
-
-    return logs.groupBy(key).applyInPandasWithState(
-        step, schema, T.StructType([T.StructField("level", T.LongType()), T.StructField("tick", T.LongType())]), "append", GroupStateTimeout.ProcessingTimeTimeout
-    ).select(*[F.col(c) for c in logs.columns])
+    schema = f"`{key}` {logs.schema[key].dataType.simpleString()}, level bigint, tick bigint"
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        before = spark.read.schema(schema).parquet(f"{buckets}/v={number - 1}") if number > 0 else None
+        allowed = ratelimit.allowances(df, key=key, capacity=capacity, fill=fill, tick_ms=tick_ms, time=time, buckets=before).persist()
+        try:
+            sink(ratelimit.passing(df, allowed, key=key, capacity=capacity, tick_ms=tick_ms, time=time, order=order), number)
+            ratelimit.levels(allowed, key, before).write.mode("overwrite").parquet(f"{buckets}/v={number}")
+        finally:
+            allowed.unpersist()
+
+    writer = logs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
