@@ -35,7 +35,7 @@ def strip_punctuation(word: Column, cut: str = PUNCTUATION) -> Column:
 
 def content_words(text: Column, stop: list[str] | None = None) -> Column:
     """Lower-case words without outer punctuation, longer than two bytes and not on the stop list."""
-    found = F.transform(words(F.lower(text)), strip_punctuation)
+    found = F.transform(words(F.lower(text)), lambda w: strip_punctuation(w))
     if stop:
         return F.filter(found, lambda w: (F.octet_length(w) > 2) & ~w.isin(stop))
     return F.filter(found, lambda w: F.octet_length(w) > 2)

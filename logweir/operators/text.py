@@ -122,11 +122,10 @@ def _valid_time(value: Column, shape: str) -> Column:
 
 
 def timestamp_entities(text: Column) -> Column:
-    parts = [
-        F.filter(entities(text, pattern, "TIMESTAMP", 0.85), lambda e, shape=shape: _valid_time(e["value"], shape))
-        for shape, pattern in TIMES.items()
-    ]
-    return F.concat(*parts)
+    def valid(shape: str):
+        return lambda e: _valid_time(e["value"], shape)
+
+    return F.concat(*[F.filter(entities(text, pattern, "TIMESTAMP", 0.85), valid(shape)) for shape, pattern in TIMES.items()])
 
 
 def error_entities(text: Column) -> Column:
@@ -218,14 +217,16 @@ def language(text: Column) -> Column:
     known = sorted({w for table in COMMON_WORDS.values() for w in table})
     hits = F.filter(W.words(F.lower(text)), lambda w: w.isin(known))
 
+    def mean(found: Column, table: dict[str, float]) -> Column:
+        mine = F.filter(found, lambda w: w.isin(list(table)))
+        total = F.aggregate(mine, F.lit(0.0), lambda acc, w: acc + _lookup(w, table))
+        return F.when(F.size(mine) > 0, total / F.size(mine)).otherwise(0.0)
+
     def means(found: Column) -> Column:
-        parts = []
-        for rank, (name, table) in enumerate(COMMON_WORDS.items()):
-            mine = F.filter(found, lambda w, table=table: w.isin(list(table)))
-            total = F.aggregate(mine, F.lit(0.0), lambda acc, w, table=table: acc + _lookup(w, table))
-            mean = F.when(F.size(mine) > 0, total / F.size(mine)).otherwise(0.0)
-            parts.append(F.struct(mean.alias("mean"), F.lit(-rank).alias("rank"), F.lit(name).alias("name")))
-        return F.array_max(F.array(*parts))
+        ranked = enumerate(COMMON_WORDS.items())
+        return F.array_max(
+            F.array(*[F.struct(mean(found, t).alias("mean"), F.lit(-i).alias("rank"), F.lit(n).alias("name")) for i, (n, t) in ranked])
+        )
 
     # a one-element list binds the hits once
     best = F.get(F.transform(F.array(hits), means), F.lit(0))
