@@ -14,4 +14,12 @@ def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     names = list(dict.fromkeys([*df.columns, *columns]))
     row = F.struct(*[c.alias(f"{name}") for name, c in columns.items()])
-    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row))).select(*names)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.inline(F.array(row))).select(*[F.col(f"`{n}`") for n in names])
+
+
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """Fix the given columns (all by default) at this point of the plan.
+
+    Use it between a step that computes costly columns and one that reads them many times.
+    """
+    return compute_once(df, {c: F.col(c) for c in columns or df.columns})

@@ -329,7 +329,7 @@ def parse_as(df: DataFrame, format: str, raw: str = "raw", *, ingest_ts=None, ye
     line, obj = F.col(raw), F.col("_object")
     ingest = _ingest(ingest_ts)
     out = df.withColumn("_object", json_object(line) if format == "json" else empty_fields())
-    out = out.withColumns(pieces(line, F.lit(format)))
+    out = compute_once(out, pieces(line, F.lit(format)))
     accepts = _accepts(line, obj)
     if format not in accepts:
         raise ValueError(f"unsupported format: {format}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.operators.conditions import filter_where
 
@@ -122,13 +122,11 @@ TEMPLATES = {
 
 def run_template(logs: DataFrame, name: str, **params) -> DataFrame:
     """A named query. ``now`` and other values are parameters, so runs repeat."""
-    spark: SparkSession = logs.sparkSession
-    used = {k: (v if isinstance(v, Column) else F.lit(v)) for k, v in params.items() if "{" + k + "}" in TEMPLATES[name]}
-    args = {k: v for k, v in used.items()}
     text = TEMPLATES[name]
-    for k in args:
+    used = {k: v for k, v in params.items() if "{" + k + "}" in text}
+    for k in used:
         text = text.replace("{" + k + "}", f":{k}")
-    return spark.sql(text.replace("{logs}", "{logs}"), args=args, logs=logs)
+    return logs.sparkSession.sql(text, args=used, logs=logs)
 
 
 def sql(logs: DataFrame, text: str, view: str = "logs") -> DataFrame:

@@ -27,9 +27,9 @@ def evaluate(logs: DataFrame, rules: list[AlertRule], *, lateness: str = "1 minu
 
 
 def start(logs: DataFrame, rules: list[AlertRule], out: str, checkpoint: str, *, lateness: str = "1 minute", trigger: dict | None = None, **kw) -> list:
-    """Write fired alerts to ``out``, one query per window length."""
+    """Write fired alerts below ``out``, one query and folder per window length."""
     queries = []
     for n, alerts in enumerate(evaluate(logs, rules, lateness=lateness, **kw)):
         writer = alerts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{checkpoint}/{n}")
-        queries.append(writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start(out))
+        queries.append(writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start(f"{out}/part={n}"))
     return queries

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from logweir.functions.steps import compute_once, settle
 from logweir.operators.model import Rule
 from logweir.operators.parse import parse_logs
 from logweir.operators.rules import Options, apply_rules
@@ -32,13 +33,13 @@ def process(
 ) -> DataFrame:
     """Lines (``raw`` and an ingest time) to documents: parse, filter, analyse free text, transform, enrich."""
     when = F.col(ingest).cast("timestamp")
-    logs = parse_logs(lines, ingest_ts=when, year=F.year(when))
+    logs = settle(parse_logs(lines, ingest_ts=when, year=F.year(when)))
     if rules:
         logs = apply_rules(logs, rules, Options(shadow=True, key="raw", edits=edits))
     if transforms is not None:
         logs = analyze_text(logs, where=F.col("format") == "unstructured")
         logs = transform_logs(logs, transforms)
-        logs = logs.withColumn("fields", F.map_concat("fields", "extracted")).drop("extracted")
+        logs = compute_once(logs, {"fields": F.map_concat("fields", "extracted")}).drop("extracted")
     return sinks.documents(enrich_logs(logs))
 
 
