@@ -119,7 +119,7 @@ def groups(col: Column, pattern: str, count: int) -> Column:
     by U+0001; a text that holds that character takes the group-by-group way.
     """
     sep = "\x01"
-    whole = pattern if pattern.endswith(r"\z") else f"(?:{pattern})" + r"[\s\S]*"
+    whole = pattern if pattern.endswith(r"\z") else f"(?:{pattern})(?s:.*)"
     joined = F.regexp_replace(col, whole, sep.join(f"${i}" for i in range(1, count + 1)))
     one_by_one = F.array(*[F.regexp_extract(col, pattern, i) for i in range(1, count + 1)])
     return F.when(col.contains(sep), one_by_one).otherwise(F.split(joined, sep, -1))

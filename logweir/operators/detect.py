@@ -24,16 +24,19 @@ TIMESTAMP_MARKS = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}:\d{2}:\d{2}"
 LEVEL_MARKS = "DEBUG|INFO|WARN|ERROR|FATAL|TRACE|CRITICAL|SUCCESS"
 
 
-def json_object(raw: Column) -> Column:
-    """The line as ``map<string,variant>`` when it is exactly one JSON object, else null.
+def with_json(df: DataFrame, raw: str) -> DataFrame:
+    """Adds ``_object``: the line as ``map<string,variant>`` when it is exactly one JSON object, else null.
 
     The parser stops after the first value; wrapping the line shows whether anything followed it.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit('{"line":'), raw, F.lit(',"end":0}')))
-    parts = F.try_variant_get(wrapped, "$", "map<string,variant>")
-    line = F.try_variant_get(F.try_element_at(parts, F.lit("line")), "$", "map<string,variant>")
-    whole = (F.size(parts) == 2) & F.map_contains_key(parts, "end")
-    return F.when(raw.rlike(r"^\s*\{[\s\S]*\}\s*\z"), F.when(whole, line))
+    line = F.col(raw)
+    wrapped = F.try_parse_json(F.concat(F.lit('{"line":'), line, F.lit(',"end":0}')))
+    bare = F.btrim(line, F.lit(" \t\r\n"))
+    parts = F.when(bare.startswith("{") & bare.endswith("}"), F.try_variant_get(wrapped, "$", "map<string,variant>"))
+    out = df.withColumn("_parts", parts)
+    whole = (F.size("_parts") == 2) & F.map_contains_key("_parts", "end")
+    value = F.try_variant_get(F.try_element_at("_parts", F.lit("line")), "$", "map<string,variant>")
+    return out.withColumn("_object", F.when(whole, value)).drop("_parts")
 
 
 def _result(name: str, confidence) -> Column:
@@ -69,7 +72,7 @@ def with_detection(df: DataFrame, raw: str, custom: list[tuple[str, Column]] | N
     (format, confidence) detectors. Shared counts are columns of their own, so each is taken once.
     """
     line = F.col(raw)
-    out = df.withColumn("_object", json_object(line))
+    out = with_json(df, raw)
     out = out.withColumn("_pair_count", F.when(F.col("_object").isNull(), F.regexp_count(line, F.lit(KEY_VALUE))))
     out = out.withColumn("_word_count", F.when(F.col("_pair_count") >= 2, W.word_count(line)))
     out = out.withColumn("_pair_confidence", key_value_confidence(F.col("_pair_count"), F.col("_word_count")))

@@ -14,7 +14,7 @@ from logweir.functions.steps import compute_once
 from logweir.functions.regex import find_all, group_labels, groups, java_pattern
 from logweir.functions.values import variant_text
 from logweir.functions.words import byte_prefix
-from logweir.operators.detect import json_object, with_detection
+from logweir.operators.detect import with_detection, with_json
 
 # Field aliases, parser patterns and word lists.
 ALIASES = {
@@ -78,7 +78,11 @@ def _optional_map(pairs: list[tuple[str, Column, Column | None]]) -> Column:
 
 
 def _first(text: Column, pattern: str, group: int = 0) -> Column:
-    """First match, null when there is none."""
+    """First match, null when there is none; for groups that are never empty."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def _first_or_empty(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
@@ -95,27 +99,32 @@ def _pairs(raw: Column, pattern: str) -> Column:
 def pieces(raw: Column, fmt: Column) -> dict[str, Column]:
     is_ = lambda *names: fmt.isin(*names)
     free = is_("unstructured")
+    nothing = F.array().cast("array<string>")
     return {
         "_groups": F.when(is_("syslog"), groups(raw, SYSLOG, 6))
         .when(is_("apache"), groups(raw, ACCESS, 9))
         .when(is_("nginx"), groups(raw, ACCESS_AGENT, 11)),
         "_pairs": F.when(is_("key_value"), _pairs(raw, PAIR)).when(free, _pairs(raw, LOOSE_PAIR)),
+        "_json": F.when(is_("json"), F.struct(*[_pick(n).alias(n) for n in ALIASES])),
         "_ips": F.when(free, find_all(raw, IP)),
-        "_urls": F.when(free, find_all(raw, URL)),
+        # a cheap test first: most texts hold no such thing
+        "_urls": F.when(free, F.when(raw.contains("://"), find_all(raw, URL)).otherwise(nothing)),
+        "_emails": F.when(free, F.when(raw.contains("@"), find_all(raw, EMAIL)).otherwise(nothing)),
         "_phrases": F.when(free, key_phrases(raw)),
         "_level": F.when(free, _first(raw, LEVEL)),
         "_time": F.when(free, _first(raw, ISO_TIME)),
     }
 
 
-def json_columns(obj: Column) -> dict[str, Column]:
-    def pick(name: str) -> Column:
-        return F.coalesce(*[F.try_element_at(obj, F.lit(k)) for k in ALIASES[name]])
+def _pick(name: str) -> Column:
+    return F.coalesce(*[F.try_element_at(F.col("_object"), F.lit(k)) for k in ALIASES[name]])
 
+
+def json_columns(obj: Column) -> dict[str, Column]:
     known = [k for names in ALIASES.values() for k in names]
-    text = {n: variant_text(pick(n)) for n in ("level", "message", "service", "trace_id", "span_id")}
+    text = {n: variant_text(F.col(f"_json.{n}")) for n in ("level", "message", "service", "trace_id", "span_id")}
     return {
-        "timestamp": TS.parse_variant(pick("timestamp")),
+        "timestamp": TS.parse_variant(F.col("_json.timestamp")),
         "level": F.coalesce(text["level"], F.lit("INFO")),
         **{n: F.coalesce(text[n], F.lit("")) for n in ("message", "service", "trace_id", "span_id")},
         "fields": F.map_filter(obj, lambda k, _: ~k.isin(known)),
@@ -182,7 +191,7 @@ def access_columns(g: Column, agent: bool) -> dict[str, Column]:
 def unstructured_columns(raw: Column, patterns: list[tuple[str, str, list[str]]] | None = None) -> dict[str, Column]:
     """``patterns``: extra (name, pattern, field names) in RE2 syntax, applied after the built-in ones."""
     ips, urls, level, phrases = F.col("_ips"), F.col("_urls"), F.col("_level"), F.col("_phrases")
-    emails = find_all(raw, EMAIL)
+    emails = F.col("_emails")
     last = lambda arr: F.get(arr, F.size(arr) - 1)
     when = TS.parse_text(F.col("_time"))
     found: list[tuple[str, Column]] = [
@@ -199,7 +208,7 @@ def unstructured_columns(raw: Column, patterns: list[tuple[str, str, list[str]]]
     for _, pattern, names in patterns or []:
         java, count = java_pattern(pattern), len(group_labels(pattern))
         for i, name in enumerate(names[:count], 1):
-            hit = _first(raw, java, i)
+            hit = _first_or_empty(raw, java, i)
             if name == "timestamp_str":
                 when_out = F.when(hit.isNotNull(), TS.parse_text(hit)).otherwise(when_out)
             elif name == "level":
@@ -306,7 +315,7 @@ def parse_logs(
     for name in ("json", "key_value", "syslog", "apache", "nginx"):
         chosen = chosen.when(accepts[name], F.lit(name))
     out = compute_once(out, {"format": chosen.otherwise(F.lit("unstructured"))})
-    out = compute_once(out, pieces(line, F.col("format")))
+    out = out.withColumns(pieces(line, F.col("format")))
     return _project(out, carried, line, obj, ingest_ts, year, patterns)
 
 
@@ -328,8 +337,8 @@ def parse_as(df: DataFrame, format: str, raw: str = "raw", *, ingest_ts=None, ye
     """Parse with one given format. ``parsed`` is false where the line does not fit it; such rows carry nulls."""
     line, obj = F.col(raw), F.col("_object")
     ingest = _ingest(ingest_ts)
-    out = df.withColumn("_object", json_object(line) if format == "json" else empty_fields())
-    out = compute_once(out, pieces(line, F.lit(format)))
+    out = with_json(df, raw) if format == "json" else df.withColumn("_object", empty_fields())
+    out = out.withColumns(pieces(line, F.lit(format)))
     accepts = _accepts(line, obj)
     if format not in accepts:
         raise ValueError(f"unsupported format: {format}")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 PERCENTS = (50, 95, 99)
-SPLITS = 1000
+SPLITS = 1024
+STEP = 32
 
 
 def latency_stats(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -26,10 +27,13 @@ def latency_stats(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFr
         F.percentile_approx("v", [i / SPLITS for i in range(1, SPLITS)], 20 * SPLITS).alias("_cuts"),
     )
     distinct = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    # cuts are sorted, so the range is the number of cuts below the value
-    located = distinct.join(totals.select(*keys, F.array_distinct("_cuts").alias("_cuts")), keys).select(
-        *keys, "v", "n", F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("range")
-    )
+    # cuts are sorted, so the range is the number of cuts below the value: count every STEP-th cut, then the rest
+    cuts = totals.select(*keys, F.array_distinct("_cuts").alias("_cuts"))
+    marks = F.transform(F.sequence(F.lit(1), F.lit(SPLITS // STEP)), lambda i: F.get("_cuts", i * STEP - 1))
+    cuts = cuts.withColumn("_marks", F.filter(marks, lambda c: c.isNotNull()))
+    below = lambda c: c < F.col("v")
+    located = distinct.join(cuts, keys).withColumn("_from", F.size(F.filter("_marks", below)) * STEP)
+    located = located.select(*keys, "v", "n", (F.col("_from") + F.size(F.filter(F.slice("_cuts", F.col("_from") + 1, F.lit(STEP)), below))).alias("range"))
     ranges = located.groupBy(*keys, "range").agg(F.sum("n").alias("size"))
     running = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a thousand rows per group
     offsets = ranges.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0)))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweir.functions.fields import Entry
-from logweir.functions.steps import compute_once
+from logweir.functions.steps import compute_once, settle
 from logweir.operators.actions import Context, Effect, Handler, compile_action, touched, written
 from logweir.operators.conditions import Operator, compile_condition
 from logweir.operators.model import Condition, Rule, in_order
@@ -73,6 +73,9 @@ def apply_rules(df: DataFrame, rules: list[Rule], options: Options = Options(),
     columns = df.columns
     todo = in_order(rules)
     entry = Entry.of(df, options.fields, options.shadow)
+    if entry.shadow:
+        # parsed logs: their columns are costly, and a filter on a shadowed column cannot reach a scan anyway
+        df = settle(df)
     if drop and not options.audit:
         df, todo = _leading_drops(df, todo, entry, options)
         if not todo:

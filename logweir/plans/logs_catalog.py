@@ -7,7 +7,6 @@ import hashlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.functions.steps import settle
 from logweir.operators import alerts as A, detectors as T, filters as L, mining as M, quality as K, query as Q, ratelimit as B, reports as R, strategy as S
 from logweir.operators.alerts import AlertRule
 from logweir.operators.filters import CompositeFilter, FilterConfig, FilterRule
@@ -463,7 +462,6 @@ def filter_recent(spark, folder):
 @query("pipeline_filter", O.lines("select id, 'json' format, json_extract_string(raw, '$.message') message, concat('{\"user_id\":\"', json_extract_string(raw, '$.user_id'), '\",\"tier\":\"gold\"}') fields from raw_lines where json_valid(raw) and json_extract_string(raw, '$.level') <> 'INFO'"))
 def pipeline_filter(spark, folder):
     parsed = parse_as(views.raw_lines(spark, folder), "json", ingest_ts=F.col("logged_at")).filter("parsed")
-    parsed = settle(parsed)
     rules = [rule("a", leaf("level", "eq", "INFO"), ("drop", {})), rule("b", leaf("user_id", "starts_with", "u_"), ("set", {"field": "tier", "value": "gold"}))]
     edited = apply_rules(parsed, rules, Options(shadow=True))
     untouched = apply_rules(parsed, rules, Options(shadow=True, edits=False)).select("id", F.map_contains_key("fields", "tier").alias("_t"))

@@ -13,10 +13,15 @@ RUNTIME = {
     # A repeated key in a key=value line or a JSON object: the last one wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # A rank filter is applied inside each task before the shuffle up to this rank.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Only a new session can take these. No Python stack capture per Column: rule sets are thousands of them.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
@@ -29,7 +34,7 @@ def build_session(app: str = "logweir", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME, **conf}.items():
+    for key, value in {**RUNTIME, **STATIC, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

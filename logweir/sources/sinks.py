@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.schemas import DOCUMENT
@@ -34,20 +35,18 @@ def latest_per_id(docs: DataFrame, order: Column, key: str = "id") -> DataFrame:
 def upsert(docs: DataFrame, path: str, order: Column) -> None:
     """Write documents so that a repeated id overwrites. Only the dates present in ``docs`` are rewritten."""
     spark = docs.sparkSession
-    fresh = latest_per_id(docs, order).withColumn("date", F.to_date("timestamp")).persist()
+    fresh = materialise(latest_per_id(docs, order).withColumn("date", F.to_date("timestamp")), "upsert")
     try:
-        dates = [r.date for r in fresh.select("date").distinct().limit(10_000).collect()]
-        try:
-            old = spark.read.schema(fresh.schema).parquet(path).filter(F.col("date").isin(dates))
-            known = old.join(fresh.select("id"), "id", "left_anti")
-            merged = known.unionByName(fresh)
-        except Exception:  # the table does not exist yet
-            merged = fresh
-        # the result is written elsewhere first: a task may be repeated while its input is overwritten
-        staged = materialise(merged, "upsert")
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    finally:
-        fresh.unpersist()
+        old = spark.read.schema(fresh.schema).parquet(path)
+    except AnalysisException:  # the table does not exist yet
+        old = None
+    if old is not None:
+        # the join on the partition column prunes the other dates
+        touched = old.join(fresh.select("date").distinct(), "date", "left_semi")
+        merged = touched.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+        # written elsewhere first: a task may be repeated while its input is overwritten
+        fresh = materialise(merged, "upsert")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def alert_feed(docs: DataFrame) -> DataFrame:
