@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -91,3 +92,24 @@ def batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
 
 
 Batches = Iterator[pa.RecordBatch]
+
+
+def runs(batches: Batches) -> Iterator[list[pa.RecordBatch]]:
+    """Batches sorted by ``cell``, cut so that no cell is cut."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        cells = b["cell"].to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(cells != cells[-1])
+        cut = int(new[-1]) + 1 if new.size else 0
+        if held and (cut or cells[0] != held[-1]["cell"][-1].as_py()):
+            if cut:
+                held.append(b.slice(0, cut))
+            yield held
+            held = []
+        elif cut:
+            yield [b.slice(0, cut)]
+        held.append(b.slice(cut))
+    if held:
+        yield held

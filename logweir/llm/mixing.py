@@ -74,9 +74,10 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     copies = queued.filter("target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     copies = copies.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("sent")) / F.col("target"))
     copies = copies.filter((F.col("size") > 0) | (F.col("pass") == 0))
-    stretch = F.floor(F.least(F.col("finish"), F.lit(4.0)) * (64 * buckets)).cast("long")
-    copies = copies.withColumn("stretch", stretch)
-    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 x buckets rows
+    # even stretches at first, longer and longer ones where the mix has long ended
+    late = F.lit(4.0) + F.log2(F.greatest(F.col("finish"), F.lit(4.0)) / 4)
+    copies = copies.withColumn("stretch", F.floor(F.least(F.col("finish"), late) * (64 * buckets)).cast("long"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     sums = copies.groupBy("stretch").agg(F.sum("size").alias("n")).select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     words = float(rows.agg(F.sum("size")).first()[0] or 0) * budget
     sums = sums.filter(F.col("start") < words)
