@@ -8,9 +8,12 @@ costs one row per task in the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.functions import words as W
+from logweir.functions.ranks import first_rows
 from logweir.operators.model import Action, Condition, Rule
 from logweir.session import materialise
 
@@ -21,6 +24,11 @@ VARIABLE = (
     r"|^\d{4}-\d{2}-\d{2}"
 )
 WILDCARD = "<*>"
+# a token that ``is_variable`` takes, inside a longer expression
+MASKED = (
+    r"(?:\d+|[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|[a-f0-9]{8,}"
+    r"|\d{4}-\d{2}-\d{2}[^\t\n\f\r ,;:=\[\]{}()]*)"
+)
 DEPTH = 4
 EXAMPLES = 3
 HIGH, MEDIUM = 100, 50
@@ -95,19 +103,12 @@ def examples(
 ) -> DataFrame:
     """The first ``limit`` messages per pattern of ``keys`` (``_key``, ``pattern``): pattern, rank, example.
 
-    The rank filter is applied inside each task before the shuffle, so a hot group sends at most
-    ``limit`` rows per task.
+    A hot group is first cut to ``limit`` rows for each of its salts.
     """
     rows = with_key(df, message).select("_key", message, *order)
-    per_key = Window.partitionBy("_key").orderBy(*order)
-    first = rows.withColumn("_rank", F.row_number().over(per_key)).filter(F.col("_rank") <= limit)
-    per_pattern = Window.partitionBy("pattern").orderBy(*order)
-    return (
-        first.join(keys.select("_key", "pattern"), "_key")
-        .withColumn("rank", F.row_number().over(per_pattern))
-        .filter(F.col("rank") <= limit)
-        .select("pattern", "rank", F.col(message).alias("example"))
-    )
+    first = first_rows(rows, ["_key"], list(order), limit, "rank").drop("rank")
+    named = first.join(keys.select("_key", "pattern"), "_key")
+    return first_rows(named, ["pattern"], list(order), limit, "rank").select("pattern", "rank", F.col(message).alias("example"))
 
 
 def pattern_stats(df: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
@@ -161,19 +162,38 @@ def recommend_rules(patterns: DataFrame, min_frequency: int = 10) -> DataFrame:
         F.concat(F.lit("Automatically generated from pattern with frequency "), F.col("frequency").cast("string")).alias("description"),
         F.when(F.col("severity") == "high", 1).otherwise(2).alias("priority"),
         F.lit("message").alias("field"),
-        F.lit("contains").alias("operator"),
-        W.trim_space(F.replace(F.col("pattern"), F.lit(WILDCARD), F.lit(""))).alias("keywords"),
+        F.lit("matches").alias("operator"),
+        matcher(F.col("pattern")).alias("value"),
+        F.lit("mark").alias("action"),
+        F.to_json(F.struct(F.col("id").alias("value"))).alias("config"),
         "frequency",
     )
 
 
-def as_rules(recommended: DataFrame, limit: int, action: Action = Action("mark", {"value": "recommended"})) -> list[Rule]:
-    """The ``limit`` most urgent recommendations as rules for ``apply_rules``."""
-    top = recommended.orderBy("priority", F.desc("frequency"), "pattern_id").limit(limit)
+def matcher(pattern: Column) -> Column:
+    """A regular expression for the messages that read like a template: its tokens in their order, one token for each wildcard.
+
+    The group key is the first tokens alone, so what follows them may differ.
+    """
+    token = F.transform(
+        F.slice(F.split(pattern, " ", -1), 1, DEPTH),
+        lambda t: F.when(t == WILDCARD, F.lit(MASKED)).otherwise(F.regexp_replace(t, r"([\\.^$|?*+()\[\]{}])", r"\\$1")),
+    )
+    gap = BREAK
+    ends = F.when(F.size(F.split(pattern, " ", -1)) >= DEPTH, F.lit(f"(?:{gap}|$)")).otherwise(F.lit(f"(?:{gap})?$"))
+    return F.concat(F.lit(f"^(?:{gap})?"), F.array_join(token, gap), ends)
+
+
+def as_rules(recommended: DataFrame) -> list[Rule]:
+    """All recommendations as rules for ``apply_rules``, most urgent first. A rule set is part of a plan, so the driver holds it."""
+    ordered = recommended.orderBy("priority", F.desc("frequency"), "pattern_id")
     return [
-        Rule(id=r.pattern_id, name=r.name, condition=Condition(r.field, r.operator, r.keywords), actions=(action,), priority=r.priority)
-        for r in top.collect()
-    ]
+        Rule(
+            id=r.pattern_id, name=r.name, condition=Condition(r.field, r.operator, r.value),
+            actions=(Action(r.action, json.loads(r.config)),), priority=r.priority,
+        )
+        for r in ordered.collect()
+    ]
 
 
 # ---- templates that outlive a run ----

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from logweir.functions.ranks import first_rows
+
 PERCENTS = (50, 95, 99)
 SPLITS = 1024
 STEP = 32
@@ -54,21 +56,9 @@ def latency_stats(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFr
     return totals.drop("_cuts").join(points, keys).drop("_all")
 
 
-def latency_approx(df: DataFrame, value: str, by: tuple[str, ...] = (), accuracy: int = 10000) -> DataFrame:
-    """As ``latency_stats`` with approximate percentiles, in a single aggregate."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("avg"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        *[F.percentile_approx(value, p / 100, accuracy).alias(f"p{p}") for p in PERCENTS],
-    )
-
-
 def last_n(df: DataFrame, n: int, by: tuple[str, ...], order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
-    """The newest ``n`` rows per group; the rank filter runs inside each task before the shuffle."""
-    window = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= n).drop("_n")
+    """The newest ``n`` rows per group."""
+    return first_rows(df, list(by), list(order), n, "_n", descending=True).drop("_n")
 
 
 def pipeline_metrics(decided: DataFrame, *, parsed: str = "parsed", kept: str = "should_keep", time: str = "timestamp") -> DataFrame:

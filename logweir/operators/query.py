@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.operators.conditions import filter_where
@@ -23,43 +25,73 @@ def select_logs(logs: DataFrame, *, service=None, component=None, level=None, st
     return logs
 
 
-def query_logs(logs: DataFrame, *, limit: int = 100, offset: int = 0, **where) -> DataFrame:
-    """A page of matching rows, newest first, with the total number of matches."""
-    found = select_logs(logs, **where)
+def page_of(found: DataFrame, limit: int | None, offset: int) -> DataFrame:
+    """A page of rows, newest first, each with ``total``, the number of all rows. A page without rows is one row of nulls with the total."""
+    newest = found.orderBy(F.desc("timestamp"), F.desc("id")).offset(offset)
+    page = (newest if limit is None else newest.limit(limit)).withColumn("_row", F.lit(True))
     total = found.agg(F.count(F.lit(1)).alias("total"))  # one row
-    page = found.orderBy(F.desc("timestamp"), F.desc("id")).offset(offset).limit(limit if limit > 0 else 100)
-    return page.crossJoin(F.broadcast(total))
+    return total.join(page, F.lit(True), "left").select(*found.columns, "total")
+
+
+def query_logs(logs: DataFrame, *, limit: int | None = 100, offset: int = 0, **where) -> DataFrame:
+    """A page of matching rows, newest first, with the total number of matches (``limit`` None: all rows)."""
+    return page_of(select_logs(logs, **where), limit, offset)
 
 
-def search(logs: DataFrame, text: str, *, limit: int = 100, **where) -> DataFrame:
-    """Rows whose message holds the text, whatever its case; newest first."""
+def holds(text: str, columns: Sequence[str]) -> Column:
+    """Some column holds the text, whatever its case."""
+    return F.coalesce(*[F.when(F.contains(F.lower(F.col(c).cast("string")), F.lower(F.lit(text))), True) for c in columns], F.lit(False))
+
+
+def search(logs: DataFrame, text: str, *, columns: Sequence[str] = ("message",), limit: int | None = None, offset: int = 0, **where) -> DataFrame:
+    """A page of the rows that hold the text in some of ``columns``, whatever its case; newest first, with the total."""
     if not text:
         raise ValueError("search needs a text")
-    found = select_logs(logs, **where).filter(F.contains(F.lower("message"), F.lower(F.lit(text))))
-    return found.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    return page_of(select_logs(logs, **where).filter(holds(text, columns)), limit, offset)
 
 
-def query_filters(logs: DataFrame, filters: dict, *, text: str | None = None, limit: int = 100, fields: str | None = "fields") -> DataFrame:
-    """Equality filters on columns or dynamic fields, optionally with a text; newest first."""
+def query_filters(
+    logs: DataFrame, filters: dict, *, text: str | None = None, columns: Sequence[str] = ("message",), limit: int | None = None, offset: int = 0, fields: str | None = "fields"
+) -> DataFrame:
+    """Equality filters on columns or dynamic fields, optionally with a text; newest first, with the total."""
     for name, value in filters.items():
         logs = filter_where(logs, {"field": name, "operator": "in" if isinstance(value, list) else "eq", "value": value}, fields=fields)
     if text:
-        logs = logs.filter(F.contains(F.lower("message"), F.lower(F.lit(text))))
-    return logs.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+        logs = logs.filter(holds(text, columns))
+    return page_of(logs, limit, offset)
+
+
+def aggregate_by(logs: DataFrame, field: str, *, interval: str | None = None, filters: dict | None = None, fields: str | None = "fields") -> DataFrame:
+    """Counts by any column or dynamic field, in time buckets if an ``interval`` is given: bucket, value, total, errors, error_rate.
+
+    Rows without the field count under null.
+    """
+    for name, value in (filters or {}).items():
+        logs = filter_where(logs, {"field": name, "operator": "in" if isinstance(value, list) else "eq", "value": value}, fields=fields)
+    value = F.col(field).cast("string") if field in logs.columns else F.try_element_at(F.col(fields), F.lit(field)).cast("string")
+    bucket = F.window("timestamp", interval)["start"] if interval else F.lit(None).cast(logs.schema["timestamp"].dataType)
+    return (
+        logs.select(bucket.alias("bucket"), value.alias("value"), "level")
+        .groupBy("bucket", "value")
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("level") == "ERROR").alias("errors"))
+        .withColumn("error_rate", F.col("errors") / F.col("total"))
+    )
 
 
 def aggregate_overview(logs: DataFrame) -> DataFrame:
-    """Totals by level and service in one pass: dimension, value, total, errors, error_rate."""
-    errors = F.count_if(F.col("level") == "ERROR")
-    sets = logs.groupingSets([["level"], ["service"], []], "level", "service").agg(
-        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("total"), errors.alias("errors")
+    """Totals by level and service: dimension, value, total, errors, error_rate."""
+    # rows are counted once; the grouping sets then triple a few counts, not the rows
+    counts = logs.groupBy("level", "service").agg(F.count(F.lit(1)).alias("n"))
+    errors = F.sum(F.when(F.col("level") == "ERROR", F.col("n")).otherwise(0))
+    sets = counts.groupingSets([["level"], ["service"], []], "level", "service").agg(
+        F.grouping_id().alias("_set"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(errors, F.lit(0)).alias("errors")
     )
     return sets.select(
         F.when(F.col("_set") == 1, "level").when(F.col("_set") == 2, "service").otherwise("all").alias("dimension"),
         F.when(F.col("_set") == 1, F.col("level")).when(F.col("_set") == 2, F.col("service")).otherwise("").alias("value"),
         "total",
         "errors",
-        (F.col("errors") / F.col("total")).alias("error_rate"),
+        F.try_divide("errors", "total").alias("error_rate"),
     )
 
 

@@ -12,7 +12,9 @@ ticks, or one entry per block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from logweir.functions.ranks import first_rows
 
 BLOCK = 1024
 
@@ -118,10 +120,8 @@ def rate_limit(
 
 
 def passing(df: DataFrame, allowed: DataFrame, *, key: str, capacity: int, tick_ms: int, time: str, order: tuple[str, ...]) -> DataFrame:
-    place = Window.partitionBy(key, "_tick").orderBy(*order)
-    ranked = _ticks(df, key, time, tick_ms).withColumn("_n", F.row_number().over(place))
-    # no tick passes more than the capacity, which prunes inside each task before the shuffle
-    ranked = ranked.filter(F.col("_n") <= capacity)
+    # no tick passes more than the capacity
+    ranked = first_rows(_ticks(df, key, time, tick_ms), [key, "_tick"], list(order), capacity, "_n")
     return ranked.join(allowed.select(key, "_tick", "allowed"), [key, "_tick"]).filter(F.col("_n") <= F.col("allowed")).drop("_tick", "_n", "allowed")
 
 

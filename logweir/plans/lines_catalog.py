@@ -35,7 +35,7 @@ def detect_format(spark, folder):
 
 
 def _texts(spark, folder) -> DataFrame:
-    return views.spread(views.table(spark, folder, "documents")).select("doc_id", "text")
+    return views.table(spark, folder, "documents").select("doc_id", "text")
 
 
 @query(
@@ -278,7 +278,7 @@ def parse_timestamp(spark, folder):
 
 @query("key_phrases", f"select conv_id, turn, array_to_string({_phrases_sql('text')}, ' ') phrases, cast(len(list_filter(list_transform(string_split_regex(text, '[.!?]+\\s*'), lambda s: trim(s, E' \\t\\n\\r\\f')), lambda s: s <> '')) as bigint) sentences from conversations")
 def key_phrases(spark, folder):
-    rows = views.spread(views.table(spark, folder, "conversations"))
+    rows = views.table(spark, folder, "conversations")
     return rows.select(
         "conv_id", "turn", F.array_join(P.key_phrases(F.col("text")), " ").alias("phrases"), F.size(P.sentences(F.col("text"))).cast("bigint").alias("sentences")
     )
@@ -347,7 +347,7 @@ def entities_http_status(spark, folder):
 
 @query("entities_user", O.logs(" union all ".join(_entity_sql("logs", "id", "message", "USER_ID", p, 1) for p in X.USERS)))
 def entities_user(spark, folder):
-    return _entity_rows(views.logs(spark, folder, wide=True), "id", X.user_entities(F.col("message")))
+    return _entity_rows(views.logs(spark, folder), "id", X.user_entities(F.col("message")))
 
 
 _DISTINCT = "list_filter(w, lambda x, i: list_position(w, x) = i)"
@@ -398,7 +398,7 @@ def _sentiment_sql() -> str:
 
 @query("sentiment", _sentiment_sql())
 def sentiment(spark, folder):
-    rows = views.spread(views.table(spark, folder, "conversations")).withColumn("_tokens", X.tokens(F.col("text")))
+    rows = views.table(spark, folder, "conversations").withColumn("_tokens", X.tokens(F.col("text")))
     found = rows.withColumn("s", X.sentiment(F.col("_tokens")))
     return found.select("conv_id", "turn", F.col("s.label").alias("label"), F.round("s.score", 6).alias("score"))
 
@@ -432,7 +432,7 @@ def analyze_text(spark, folder):
 
 
 def _tx(spark, folder, *rules: tuple[str, str, dict], source: str = "message", analysed: bool = False) -> DataFrame:
-    logs = views.logs(spark, folder, wide=True)
+    logs = views.logs(spark, folder)
     made = [TransformRule(f"r{i}", src, target, extractor, config) for i, (extractor, src, target, config) in enumerate(rules)]
     return transform_logs(logs, made)
 
@@ -508,7 +508,7 @@ def tx_entities(spark, folder):
 
 
 def _enriched(spark, folder) -> DataFrame:
-    return S.enrich_logs(views.logs(spark, folder, wide=True).withColumnRenamed("user_id", "who"))
+    return S.enrich_logs(views.logs(spark, folder).withColumnRenamed("user_id", "who"))
 
 
 _REQUEST = r"^\s*(\S+)\s+(\S+)\s+([+-]?\d+)"
@@ -528,7 +528,7 @@ def sem_http(spark, folder):
 
 def _with_fields(spark, folder, sql: str) -> DataFrame:
     """Logs whose dynamic fields come from a JSON text expression."""
-    logs = views.logs(spark, folder, wide=True).withColumnRenamed("user_id", "who")
+    logs = views.logs(spark, folder).withColumnRenamed("user_id", "who")
     return logs.withColumn("fields", F.from_json(F.expr(sql), "map<string,variant>"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,8 +18,9 @@ from logweir.operators.strategy import Strategy, StrategyRule
 from logweir.plans import oracle as O
 from logweir.plans.registry import json_field, query, time_text
 from logweir.plans.rules_catalog import leaf, rule
+from logweir.schemas import RULE_STORE
 from logweir.session import scratch
-from logweir.sources import ingest, readers, sinks, views
+from logweir.sources import ingest, readers, sinks, stores, views
 from logweir.streaming import alerts as stream_alerts, pipeline, ratelimit as stream_limits, templates
 
 NOW = "2024-01-31 00:00:00"
@@ -44,14 +46,39 @@ def query_logs(spark, folder):
     return page.select("id", time_text("timestamp").alias("ts"), "level", "message", "total")
 
 
-@query("search", O.logs(f"select id, {_TS}, message from logs where contains(lower(message), 'timeout after 1') order by \"timestamp\" desc, id desc limit 100"))
+@query("query_logs_past_the_end", O.logs("select cast(null as bigint) id, count(*) total from logs where service = 'api-gateway'"))
+def query_logs_past_the_end(spark, folder):
+    return Q.query_logs(_logs(spark, folder), service="api-gateway", offset=1_000_000_000).select("id", "total")
+
+
+@query("search", O.logs(f"select id, {_TS}, message, count(*) over () total from logs where contains(lower(message), 'timeout after 1')"))
 def search(spark, folder):
-    return Q.search(_logs(spark, folder), "TimeOut after 1").select("id", time_text("timestamp").alias("ts"), "message")
+    return Q.search(_logs(spark, folder), "TimeOut after 1").select("id", time_text("timestamp").alias("ts"), "message", "total")
+
+
+@query(
+    "search_columns",
+    O.logs("select id, count(*) over () total from logs where contains(lower(message), 'click') or contains(lower(path), 'click') or contains(user_id, 'click') order by \"timestamp\" desc, id desc limit 40 offset 10"),
+)
+def search_columns(spark, folder):
+    return Q.search(_logs(spark, folder), "CLICK", columns=("message", "path", "user_id"), limit=40, offset=10).select("id", "total")
 
 
-@query("query_filters", O.logs("select id, level, service from logs where level in ('ERROR', 'WARN') and service = 'order-service' and k = 7 and contains(lower(message), 'a') order by \"timestamp\" desc, id desc limit 100"))
+@query("query_filters", O.logs("select id, level, service, count(*) over () total from logs where level in ('ERROR', 'WARN') and service = 'order-service' and k = 7 and contains(lower(message), 'a')"))
 def query_filters(spark, folder):
-    return Q.query_filters(_logs(spark, folder), {"level": ["ERROR", "WARN"], "service": "order-service", "k": 7}, text="A").select("id", "level", "service")
+    return Q.query_filters(_logs(spark, folder), {"level": ["ERROR", "WARN"], "service": "order-service", "k": 7}, text="A").select("id", "level", "service", "total")
+
+
+@query(
+    "aggregate_by_field",
+    O.logs(
+        """select strftime(time_bucket(interval '1 day', "timestamp"), '%Y-%m-%d') day, cast(k as varchar) as value, count(*) total, count(*) filter (level = 'ERROR') errors,
+        round(count(*) filter (level = 'ERROR') / count(*), 9) error_rate from logs where service in ('api-gateway', 'auth-service') group by 1, 2"""
+    ),
+)
+def aggregate_by_field(spark, folder):
+    out = Q.aggregate_by(_logs(spark, folder), "k", interval="1 day", filters={"service": ["api-gateway", "auth-service"]})
+    return out.select(F.date_format("bucket", "yyyy-MM-dd").alias("day"), "value", "total", "errors", F.round("error_rate", 9).alias("error_rate"))
 
 
 @query("like_escaped", O.logs(r"select id, message from logs where contains(message, 'user_id=u_1') or contains(message, '%')"))
@@ -185,13 +212,13 @@ def normalize_patterns(spark, folder):
 
 @query("tokenize", f"select doc_id, cast(len(t) as bigint) n, md5(array_to_string(t, ' ')) tokens from (select doc_id, {O.tokens('text')} t from documents)")
 def tokenize(spark, folder):
-    docs = views.spread(views.table(spark, folder, "documents")).withColumn("t", M.tokenize(F.col("text")))
+    docs = views.table(spark, folder, "documents").withColumn("t", M.tokenize(F.col("text")))
     return docs.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
 @query("message_template", O.logs(f"select id, {O.template()} as template from logs"))
 def message_template(spark, folder):
-    return views.logs(spark, folder, wide=True).select("id", M.template(F.col("message")).alias("template"))
+    return views.logs(spark, folder).select("id", M.template(F.col("message")).alias("template"))
 
 
 _SEVERITY = "case when frequency > 100 then 'high' when frequency > 50 then 'medium' else 'low' end"
@@ -200,7 +227,7 @@ _STATS = f"select substr(sha256(pattern), 1, 16) id, pattern, frequency, {_SEVER
 
 @query("mine_patterns", O.mined(_STATS))
 def mine_patterns(spark, folder):
-    return M.mine_patterns(views.logs(spark, folder, wide=True))
+    return M.mine_patterns(views.logs(spark, folder))
 
 
 @query("mine_patterns_wildcard")
@@ -216,7 +243,7 @@ def mine_patterns_wildcard(spark, folder):
     ),
 )
 def pattern_stats(spark, folder):
-    return M.pattern_stats(views.logs(spark, folder, wide=True)).withColumn("examples", F.array_join("examples", "|"))
+    return M.pattern_stats(views.logs(spark, folder)).withColumn("examples", F.array_join("examples", "|"))
 
 
 _SPLIT = "timestamp '2024-01-06'"
@@ -224,13 +251,13 @@ _SPLIT = "timestamp '2024-01-06'"
 
 @query("anomalies", O.logs(f"select id, message from keyed k where \"timestamp\" >= {_SPLIT} and grp not in (select grp from keyed where \"timestamp\" < {_SPLIT})", O.KEYED))
 def anomalies(spark, folder):
-    logs, day = views.logs(spark, folder, wide=True), F.to_timestamp_ntz(F.lit("2024-01-06"))
+    logs, day = views.logs(spark, folder), F.to_timestamp_ntz(F.lit("2024-01-06"))
     return M.anomalies(logs.filter(F.col("timestamp") >= day), logs.filter(F.col("timestamp") < day)).select("id", "message")
 
 
 @query("clusters", O.mined("select substr(sha256(pattern), 1, 16) id, pattern center, frequency size, 1.0::double similarity from patterns where frequency >= 2"))
 def clusters(spark, folder):
-    return M.clusters(views.logs(spark, folder, wide=True))
+    return M.clusters(views.logs(spark, folder))
 
 
 @query(
@@ -238,25 +265,30 @@ def clusters(spark, folder):
     O.mined(f"select k.id, substr(sha256(p.pattern), 1, 16) cluster_id from keyed k join (select grp, {O.template('first_message')} pattern from grouped) g on k.grp = g.grp join patterns p on p.pattern = g.pattern where p.frequency >= 2"),
 )
 def cluster_members(spark, folder):
-    return M.cluster_members(views.logs(spark, folder, wide=True)).select("id", "cluster_id")
+    return M.cluster_members(views.logs(spark, folder)).select("id", "cluster_id")
 
 
 _RECOMMENDED = f"""select substr(sha256(pattern), 1, 16) pattern_id, concat('Auto-generated rule for: ', case when strlen(pattern) <= 50 then pattern else concat(substr(pattern, 1, 50), '...') end) "name",
- cast(case when frequency > 100 then 1 else 2 end as bigint) priority, trim(replace(pattern, '<*>', '')) keywords, frequency from patterns where frequency > 50 and frequency >= 10"""
+ cast(case when frequency > 100 then 1 else 2 end as bigint) priority, 'matches' as "operator", 'mark' as "action", concat('{{"value":"', substr(sha256(pattern), 1, 16), '"}}') config, frequency from patterns where frequency > 50 and frequency >= 10"""
 
 
 @query("recommend_rules", O.mined(_RECOMMENDED))
 def recommend_rules(spark, folder):
-    out = M.recommend_rules(M.mine_patterns(views.logs(spark, folder, wide=True)))
-    return out.select("pattern_id", "name", F.col("priority").cast("bigint").alias("priority"), "keywords", "frequency")
+    out = M.recommend_rules(M.mine_patterns(views.logs(spark, folder)))
+    return out.select("pattern_id", "name", F.col("priority").cast("bigint").alias("priority"), "operator", "action", "config", "frequency")
 
 
-@query("closed_loop", O.logs("select id, case when contains(message, 'GET /api/v1/items/') or contains(message, 'slow query') then 'seen' else 'new' end tag from logs where level <> 'DEBUG'"))
+@query(
+    "closed_loop",
+    O.mined(
+        f"""select k.id, case when p.frequency > 50 then substr(sha256(p.pattern), 1, 16) else 'new' end tag from keyed k
+        join (select grp, {O.template('first_message')} pattern from grouped) g on k.grp = g.grp join patterns p on p.pattern = g.pattern where k.level <> 'DEBUG'"""
+    ),
+)
 def closed_loop(spark, folder):
-    # normalised messages of the frequent kind become rules again
-    logs = views.logs(spark, folder, wide=True)
-    frequent = M.recommend_rules(M.mine_patterns(logs.withColumn("message", F.regexp_extract("message", r"^(GET \S+/|slow query)", 1)).filter("message <> ''")))
-    rules = M.as_rules(frequent, 5, Action("mark", {"value": "seen"}))
+    """Whole messages are mined, every recommendation becomes a rule, and the rules mark exactly the rows of their patterns."""
+    logs = views.logs(spark, folder)
+    rules = M.as_rules(M.recommend_rules(M.mine_patterns(logs)))
     drop = rule("zz", leaf("level", "eq", "DEBUG"), ("drop", {}))
     return apply_rules(logs, [*rules, drop]).select("id", F.coalesce(json_field("_tags"), F.lit("new")).alias("tag"))
 
@@ -270,7 +302,7 @@ late as (select grp, count(*) n, arg_min(message, ("timestamp", id)) m from keye
     O.logs(f"select pattern, cast(sum(n) as bigint) frequency from (select {O.template('coalesce(e.m, l.m)')} pattern, coalesce(e.n, 0) + coalesce(l.n, 0) n from early e full join late l on e.grp = l.grp) group by pattern", O.KEYED, _TEMPLATE_TABLE),
 )
 def patterns_incremental(spark, folder):
-    logs, path, day = views.logs(spark, folder, wide=True), scratch(spark, "templates"), F.to_timestamp_ntz(F.lit("2024-01-15"))
+    logs, path, day = views.logs(spark, folder), scratch(spark, "templates"), F.to_timestamp_ntz(F.lit("2024-01-15"))
     templates.absorb(logs.filter(F.col("timestamp") < day), path, 0)
     return templates.patterns(templates.absorb(logs.filter(F.col("timestamp") >= day), path, 1)).select("pattern", "frequency")
 
@@ -310,7 +342,7 @@ def detect_slow_response(spark, folder):
     O.logs(f"select {O.template('m')} pattern, cast(sum(n) as bigint) frequency from (select grp, count(*) n, arg_min(message, (\"timestamp\", id)) m from keyed where \"timestamp\" >= {_SPLIT} and grp not in (select grp from keyed where \"timestamp\" < {_SPLIT}) group by grp) group by 1", O.KEYED),
 )
 def detect_new_pattern(spark, folder):
-    return T.new_patterns(views.logs(spark, folder, wide=True), F.to_timestamp_ntz(F.lit("2024-01-06"))).select("pattern", "frequency")
+    return T.new_patterns(views.logs(spark, folder), F.to_timestamp_ntz(F.lit("2024-01-06"))).select("pattern", "frequency")
 
 
 # ---- alerts ----
@@ -336,6 +368,22 @@ def alerts_eval(spark, folder):
     return _alert_columns(A.evaluate(_logs(spark, folder), ALERTS))
 
 
+@query("alerts_rules_table", O.logs(f"select {_FIRED_COLUMNS} from fired", _FIRED))
+def alerts_rules_table(spark, folder):
+    """The alert rules come from a table; a document that is no rule is reported."""
+    bodies = [
+        {"id": r.id, "name": r.name, "enabled": r.enabled, "service": r.service, "threshold": r.threshold, "window": r.window, "condition": c}
+        for r, c in zip(
+            ALERTS,
+            (leaf("level", "eq", "ERROR"), {"all": [leaf("duration_ms", "gt", 1500), leaf("level", "ne", "DEBUG")]}, leaf("level", "eq", "INFO")),
+            strict=True,
+        )
+    ]
+    store = spark.createDataFrame([(b["id"], "", json.dumps(b)) for b in bodies] + [("bad", "", "[1]")], RULE_STORE)
+    assert stores.rejects(store).count() == 1
+    return _alert_columns(A.evaluate(_logs(spark, folder), stores.load_alert_rules(store)))
+
+
 @query("alerts_history", O.logs(f"select {_FIRED_COLUMNS}, case when n % 2 = 0 then 'resolved' else 'pending' end status from fired", _FIRED))
 def alerts_history(spark, folder):
     found = A.evaluate(_logs(spark, folder), ALERTS)

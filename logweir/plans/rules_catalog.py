@@ -79,8 +79,8 @@ def cond_custom(spark, folder):
 HASH = "('0x' || substr(md5(concat(cast(id as varchar), ':', '{rule}', ':0')), 1, 8))::bigint / 4294967296.0"
 
 
-def run(spark, folder, rules, options: Options = Options(), drop: bool = True, wide: bool = False):
-    return apply_rules(views.logs(spark, folder, wide), rules, options, drop=drop)
+def run(spark, folder, rules, options: Options = Options(), drop: bool = True):
+    return apply_rules(views.logs(spark, folder), rules, options, drop=drop)
 
 
 @query("act_keep", O.logs("select id, level from logs where level = 'ERROR' or service <> 'api-gateway'"))
@@ -239,7 +239,7 @@ TEN_RULES_SQL = O.logs(
 
 @query("rules_apply", TEN_RULES_SQL)
 def rules_apply(spark, folder):
-    out = run(spark, folder, TEN_RULES, wide=True)
+    out = run(spark, folder, TEN_RULES)
     return out.select(
         "id",
         "message",

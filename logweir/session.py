@@ -13,8 +13,6 @@ RUNTIME = {
     # A repeated key in a key=value line or a JSON object: the last one wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # A rank filter is applied inside each task before the shuffle up to this rank.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

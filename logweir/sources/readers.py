@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logweir.schemas import TRAINING_SAMPLE
 
 
-def kafka_options(brokers: str, topic: str, group: str = "", *, starting: str = "earliest", max_per_trigger: int | None = None) -> dict[str, str]:
-    options = {"kafka.bootstrap.servers": brokers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"}
+def kafka_options(brokers: str, topic: str, group: str = "", *, starting: str = "earliest", max_per_trigger: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+    options = {"kafka.bootstrap.servers": brokers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": str(fail_on_data_loss).lower()}
     if group:
         options["kafka.group.id"] = group
     if max_per_trigger:

@@ -14,15 +14,22 @@ from logweir.session import materialise
 log = logging.getLogger(__name__)
 
 
-def document_id(service: Column, timestamp: Column) -> Column:
-    """``service-nanoseconds``; Spark keeps microseconds."""
-    return F.concat_ws("-", service, (F.unix_micros(timestamp.cast("timestamp")) * 1000).cast("string"))
+def document_id(service: Column, timestamp: Column, raw: Column | None = None) -> Column:
+    """``service-nanoseconds-hash of the line``; without a line, service and nanoseconds alone.
+
+    Times of lines often are whole seconds, so service and time don't tell two lines apart.
+    """
+    parts = [service, (F.unix_micros(timestamp.cast("timestamp")) * 1000).cast("string")]
+    if raw is not None:
+        parts.append(F.substring(F.sha2(raw, 256), 1, 16))
+    return F.concat_ws("-", *parts)
 
 
 def documents(enriched: DataFrame) -> DataFrame:
     """Enriched logs in the shape of the indexed document, with its id."""
     columns = [F.col(f.name) for f in DOCUMENT.fields if f.name in enriched.columns]
-    return enriched.select(document_id(F.col("service"), F.col("timestamp")).alias("id"), *columns)
+    raw = F.col("raw") if "raw" in enriched.columns else None
+    return enriched.select(document_id(F.col("service"), F.col("timestamp"), raw).alias("id"), *columns)
 
 
 def latest_per_id(docs: DataFrame, order: Column, key: str = "id") -> DataFrame:
@@ -78,8 +85,11 @@ def write_topic(logs: DataFrame, brokers: str, topic: str) -> None:
     topic_rows(logs).write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic).save()
 
 
-def write_console(docs: DataFrame, index: str, rows: int = 20) -> None:
-    docs.select(F.concat(F.lit(f"[{index}] "), F.to_json(F.struct(*docs.columns))).alias("document")).show(rows, truncate=False)
+def write_console(docs: DataFrame, index: str) -> None:
+    """Print every document, a partition's worth at a time."""
+    lines = docs.select(F.concat(F.lit(f"[{index}] "), F.to_json(F.struct(*docs.columns))).alias("document"))
+    for row in lines.toLocalIterator():
+        print(row.document)
 
 
 def write_all(docs: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> Exception | None:

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import logging
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from logweir.operators.alerts import AlertRule
 from logweir.operators.filters import FilterConfig, active
 from logweir.operators.model import Rule, RuleError
 from logweir.operators.strategy import Strategy
 from logweir.schemas import RULE_STORE
-
-# Rules become part of the plan, so a store has to stay a configuration.
-MOST_DOCUMENTS = 100_000
+log = logging.getLogger(__name__)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RULE_STORE).parquet(path)
 
 
+def _readable() -> Column:
+    return F.coalesce(F.try_variant_get(F.try_parse_json("body"), "$", "map<string,variant>").isNotNull(), F.lit(False))
+
+
+def rejects(store: DataFrame) -> DataFrame:
+    """The rows that ``documents`` leaves out: their body is no JSON object."""
+    return store.filter(~_readable())
+
+
 def documents(store: DataFrame) -> DataFrame:
-    """Readable documents with their id, enabled flag and priority; rows that are no JSON object are left out."""
-    doc = F.try_parse_json("body")
+    """Readable documents with their id, enabled flag and priority; ``rejects`` has the others."""
     get = lambda path, kind: F.try_variant_get("_doc", path, kind)
-    out = store.withColumn("_doc", doc).filter(F.try_variant_get("_doc", "$", "map<string,variant>").isNotNull())
+    out = store.filter(_readable()).withColumn("_doc", F.parse_json("body"))
     return out.select(
         F.coalesce(get("$.id", "string"), F.lit("")).alias("id"),
         "scope",
@@ -47,38 +57,33 @@ def _bodies(store: DataFrame, scope: str | None) -> list:
     rows = documents(store)
     if scope is not None:
         rows = rows.filter(F.col("scope").startswith(scope))
-    found = rows.select("scope", "body").limit(MOST_DOCUMENTS + 1).collect()
-    if len(found) > MOST_DOCUMENTS:
-        raise ValueError(f"more than {MOST_DOCUMENTS} documents in one store")
-    return found
+    return rows.select("scope", "body").collect()
 
 
-def load_rules(store: DataFrame, scope: str | None = None) -> list[Rule]:
-    """Rules to compile into a plan. Documents that do not read as a rule are skipped."""
+def _parsed(store: DataFrame, scope: str | None, parse: Callable, rejected: list[tuple[str, str]] | None) -> list:
     out = []
     for row in _bodies(store, scope):
         try:
-            out.append(Rule.parse(row.body, scope=row.scope or ""))
-        except (RuleError, AttributeError, TypeError):
-            continue
+            out.append(parse(row))
+        except (RuleError, ValueError, AttributeError, TypeError) as error:
+            log.warning("document left out: %s", error)
+            if rejected is not None:
+                rejected.append((row.body, str(error)))
     return out
 
 
-def load_filters(store: DataFrame) -> list[FilterConfig]:
-    out = []
-    for row in _bodies(store, None):
-        try:
-            out.append(FilterConfig.parse(row.body))
-        except (ValueError, AttributeError, TypeError):
-            continue
-    return active(out)
+def load_rules(store: DataFrame, scope: str | None = None, rejected: list[tuple[str, str]] | None = None) -> list[Rule]:
+    """Rules to compile into a plan. Documents that do not read as a rule go to ``rejected`` (body, reason) and the log."""
+    return _parsed(store, scope, lambda row: Rule.parse(row.body, scope=row.scope or ""), rejected)
 
 
-def load_strategies(store: DataFrame) -> list[Strategy]:
-    out = []
-    for row in _bodies(store, None):
-        try:
-            out.append(Strategy.parse(row.body))
-        except (ValueError, AttributeError, TypeError):
-            continue
-    return out
+def load_filters(store: DataFrame, rejected: list[tuple[str, str]] | None = None) -> list[FilterConfig]:
+    return active(_parsed(store, None, lambda row: FilterConfig.parse(row.body), rejected))
+
+
+def load_strategies(store: DataFrame, rejected: list[tuple[str, str]] | None = None) -> list[Strategy]:
+    return _parsed(store, None, lambda row: Strategy.parse(row.body), rejected)
+
+
+def load_alert_rules(store: DataFrame, rejected: list[tuple[str, str]] | None = None) -> list[AlertRule]:
+    return _parsed(store, None, lambda row: AlertRule.parse(row.body), rejected)

@@ -92,7 +92,7 @@ def test_rule_store(spark):
 
 def test_topic_and_console(spark, capsys):
     assert readers.kafka_options("b:9092", "logs", "g", max_per_trigger=10) == {
-        "kafka.bootstrap.servers": "b:9092", "subscribe": "logs", "startingOffsets": "earliest", "failOnDataLoss": "false", "kafka.group.id": "g", "maxOffsetsPerTrigger": "10",
+        "kafka.bootstrap.servers": "b:9092", "subscribe": "logs", "startingOffsets": "earliest", "failOnDataLoss": "true", "kafka.group.id": "g", "maxOffsetsPerTrigger": "10",
     }
     df = spark.createDataFrame([("2024-01-01", "INFO", 'say "hi"', "api", "", "t1")], "day string, level string, message string, service string, pod string, trace_id string")
     row = sinks.topic_rows(df.withColumn("timestamp", F.col("day").cast("timestamp"))).collect()[0]
