@@ -83,14 +83,14 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """The distinct hashed character n-grams of host and path, each with its ends marked."""
-    lists = []
-    for name, part in (("h", host), ("p", path)):
+
+    def of(name: str, part: Column, n: int) -> Column:
         marked = F.concat(F.lit("^"), part, F.lit("$"))
-        for n in SIZES:
-            last = F.length(marked) - (n - 1)
-            starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            lists.append(F.transform(starts, lambda i, m=marked, n=n, k=name: F.pmod(F.xxhash64(F.lit(k), F.substring(m, i, F.lit(n))), F.lit(buckets)).cast("int")))
-    return F.array_distinct(F.concat(*lists))
+        last = F.length(marked) - (n - 1)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(name), F.substring(marked, i, F.lit(n))), F.lit(buckets)).cast("int"))
+
+    return F.array_distinct(F.concat(*[of(name, part, n) for name, part in (("h", host), ("p", path)) for n in SIZES]))
 
 
 def labelled(spark: SparkSession, rows: Sequence[tuple[str, int]] = LABELLED) -> DataFrame:
