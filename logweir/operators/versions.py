@@ -72,6 +72,15 @@ def _in_force(value: Value, bounds) -> Column:
     return out
 
 
+def in_force(versions: DataFrame) -> list[tuple[Rule, object, object]]:
+    """(rule, valid from, valid to) of a version table (``schemas.RULE_VERSION``): a version holds until the next one of its rule.
+
+    One row for each version of each rule; they become part of a plan, so the driver holds them.
+    """
+    rows = history(versions).orderBy("rule_id", "version").collect()
+    return [(Rule.parse(r["content"]), r["valid_from"], r["valid_to"]) for r in rows]
+
+
 def apply_as_of(
     df: DataFrame, versions: list[tuple[Rule, object, object]], options: Options = Options(), *, time: str = "timestamp", drop: bool = True
 ) -> DataFrame:

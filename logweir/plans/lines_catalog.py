@@ -70,6 +70,9 @@ _HEAD = f"""select l.id, d.format,
   else concat('connection 192.168.', cast(l.id % 250 as varchar), '.4 slow ', lower("function"), ' failed') end message,
  case when l.id % 6 < 3 then service else '' end service, case when l.id % 6 < 2 then trace_id else '' end trace_id"""
 
+# parsed lines with their text
+PARSED_LINES = f"{_HEAD}, raw from logs l join detected d on l.id = d.id"
+
 
 @query(
     "parse_logs",

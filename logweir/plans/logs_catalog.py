@@ -18,7 +18,8 @@ from logweir.operators.strategy import Strategy, StrategyRule
 from logweir.plans import oracle as O
 from logweir.plans.registry import json_field, query, time_text
 from logweir.plans.rules_catalog import leaf, rule
-from logweir.schemas import RULE_STORE
+from logweir.plans.lines_catalog import DETECTED, PARSED_LINES
+from logweir.schemas import DOCUMENTS, RULE_STORE
 from logweir.session import scratch
 from logweir.sources import ingest, readers, sinks, stores, views
 from logweir.streaming import alerts as stream_alerts, pipeline, ratelimit as stream_limits, templates
@@ -72,7 +73,7 @@ def query_filters(spark, folder):
 @query(
     "aggregate_by_field",
     O.logs(
-        """select strftime(time_bucket(interval '1 day', "timestamp"), '%Y-%m-%d') day, cast(k as varchar) as value, count(*) total, count(*) filter (level = 'ERROR') errors,
+        """select strftime(time_bucket(interval '1 day', "timestamp"), '%Y-%m-%d') as "day", cast(k as varchar) as value, count(*) total, count(*) filter (level = 'ERROR') errors,
         round(count(*) filter (level = 'ERROR') / count(*), 9) error_rate from logs where service in ('api-gateway', 'auth-service') group by 1, 2"""
     ),
 )
@@ -594,6 +595,23 @@ def sink_upsert_latest(spark, folder):
     return sinks.latest_per_id(docs, F.col("seq"))
 
 
+@query(
+    "sink_upsert",
+    O.logs(
+        """select concat(service, '-', cast(epoch_us(date_trunc('hour', "timestamp")) * 1000 as varchar)) id, coalesce(arg_max(message, id) filter (id % 3 <> 0), arg_max(message, id)) message,
+        coalesce(max(id) filter (id % 3 <> 0), max(id)) seq from logs where "timestamp" >= timestamp '2024-01-10' and "timestamp" < timestamp '2024-01-20' group by 1"""
+    ),
+)
+def sink_upsert(spark, folder):
+    """Two batches with ids in common: the second stands, and a repeated batch changes nothing."""
+    path = scratch(spark, "upsert")
+    logs = _logs(spark, folder).filter("timestamp >= '2024-01-10' and timestamp < '2024-01-20'")
+    docs = logs.select(sinks.document_id(F.col("service"), F.date_trunc("hour", "timestamp")).alias("id"), F.date_trunc("hour", "timestamp").alias("timestamp"), "message", F.col("id").alias("seq"))
+    for number, part in ((0, "seq % 3 = 0"), (1, "seq % 3 <> 0"), (0, "seq % 3 = 0")):
+        sinks.upsert(docs.filter(part), path, F.col("seq"), number)
+    return sinks.current(spark, path).select("id", "message", "seq")
+
+
 @query("sink_multi", O.logs("select 'a' sink, count(*) n from logs union all select 'b', count(*) from logs"))
 def sink_multi(spark, folder):
     path = scratch(spark, "multi")
@@ -636,7 +654,13 @@ def alerts_stream(spark, folder):
     return _alert_columns(spark.read.schema(A.evaluate(_logs(spark, folder), ALERTS).schema).parquet(f"{path}/out"))
 
 
-@query("pipeline_stream")
+@query(
+    "pipeline_stream",
+    O.lines(
+        f"select service, level, count(distinct concat(service, '|', ts, '|', raw)) documents, count(distinct raw) filter (format = 'unstructured') analysed from ({PARSED_LINES}) where level <> 'DEBUG' group by 1, 2",
+        DETECTED,
+    ),
+)
 def pipeline_stream(spark, folder):
     path = scratch(spark, "pipeline")
     lines = views.raw_lines_from_logs(views.logs_from_events(readers.stream_table(spark, folder, "events")))
@@ -646,7 +670,11 @@ def pipeline_stream(spark, folder):
         return [rule("a", leaf("level", "eq", "DEBUG"), ("drop", {}))]
 
     pipeline.start(lines, f"{path}/docs", f"{path}/checkpoint", load_rules=rules, trigger={"availableNow": True}).awaitTermination()
-    return spark.read.parquet(f"{path}/docs").groupBy("service", "level").agg(F.count(F.lit(1)).alias("documents"))
+    found = sinks.current(spark, f"{path}/docs", DOCUMENTS)
+    # every free line says that a connection was slow and failed
+    mood = (F.col("sentiment_score") == -1.0) & (F.col("sentiment_label") == "negative") & (F.col("language") == "en") & (F.col("category") == "error")
+    named = (F.get("keywords", F.lit(0)) == "connection") & (F.get("entities", F.lit(0))["type"] == "IP_ADDRESS")
+    return found.groupBy("service", "level").agg(F.count(F.lit(1)).alias("documents"), F.count_if(mood & named).alias("analysed"))
 
 
 @query("rate_limit_stream")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+from dataclasses import replace
+
 from pyspark.sql import Window, functions as F
 
 from logweir.operators import query as Q, rules as R, versions as V
@@ -11,6 +15,7 @@ from logweir.operators.model import Rule
 from logweir.operators.rules import Options, apply_rules
 from logweir.plans import oracle as O
 from logweir.plans.registry import json_field, query
+from logweir.schemas import RULE_VERSION
 from logweir.sources import stores, views
 
 
@@ -482,10 +487,14 @@ def rules_as_of(spark, folder):
     def edition(word: str) -> Rule:
         return rule("mark", leaf("level", "exists"), ("mark", {"field": "edition", "value": word}))
 
-    versions = [
-        (edition("one"), None, "2024-01-10 00:00:00"),
-        (edition("two"), "2024-01-10 00:00:00", "2024-01-20 12:00:00"),
-        (edition("three"), "2024-01-20 12:00:00", None),
-        (rule("quiet", leaf("level", "eq", "DEBUG"), ("drop", {})), "2024-01-10 00:00:00", "2024-01-20 12:00:00"),
+    quiet = rule("quiet", leaf("level", "eq", "DEBUG"), ("drop", {}))
+    table = [
+        ("mark", 1, edition("one"), "2000-01-01 00:00:00"),
+        ("mark", 2, edition("two"), "2024-01-10 00:00:00"),
+        ("mark", 3, edition("three"), "2024-01-20 12:00:00"),
+        ("quiet", 1, quiet, "2024-01-10 00:00:00"),
+        ("quiet", 2, replace(quiet, enabled=False), "2024-01-20 12:00:00"),
     ]
+    rows = [(f"{r}-{v}", r, v, json.dumps(body.to_doc()), "me", "", datetime.datetime.fromisoformat(when)) for r, v, body, when in table]
+    versions = V.in_force(spark.createDataFrame(rows, RULE_VERSION))
     return V.apply_as_of(views.logs(spark, folder), versions).select("id", json_field("edition").alias("edition"))

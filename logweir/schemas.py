@@ -4,6 +4,18 @@ from pyspark.sql import types as T
 
 DYNAMIC = T.MapType(T.StringType(), T.VariantType())
 
+ENTITIES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("type", T.StringType()),
+            T.StructField("value", T.StringType()),
+            T.StructField("confidence", T.DoubleType()),
+            T.StructField("start", T.LongType()),
+            T.StructField("end", T.LongType()),
+        ]
+    )
+)
+
 
 def _struct(*cols: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in cols])
@@ -68,9 +80,19 @@ DOCUMENT = _struct(
     ("tenant_id", T.StringType()),
     ("is_error", T.BooleanType()),
     ("error_type", T.StringType()),
+    # analysis of free text; null for other formats
+    ("sentiment_score", T.DoubleType()),
+    ("sentiment_label", T.StringType()),
+    ("language", T.StringType()),
+    ("category", T.StringType()),
+    ("keywords", T.ArrayType(T.StringType())),
+    ("entities", ENTITIES),
     ("fields", DYNAMIC),
 )
 
+# As stored: with the id.
+DOCUMENTS = T.StructType([T.StructField("id", T.StringType()), *DOCUMENT])
+
 # Rule, filter and strategy tables hold one JSON document per row.
 RULE_STORE = _struct(("id", T.StringType()), ("scope", T.StringType()), ("body", T.StringType()))
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from logweir.schemas import DOCUMENT
-from logweir.session import materialise
 
 log = logging.getLogger(__name__)
 
@@ -39,21 +38,34 @@ def latest_per_id(docs: DataFrame, order: Column, key: str = "id") -> DataFrame:
     return last.select(key, "_doc.*")
 
 
-def upsert(docs: DataFrame, path: str, order: Column) -> None:
-    """Write documents so that a repeated id overwrites. Only the dates present in ``docs`` are rewritten."""
-    spark = docs.sparkSession
-    fresh = materialise(latest_per_id(docs, order).withColumn("date", F.to_date("timestamp")), "upsert")
-    try:
-        old = spark.read.schema(fresh.schema).parquet(path)
-    except AnalysisException:  # the table does not exist yet
-        old = None
-    if old is not None:
-        # the join on the partition column prunes the other dates
-        touched = old.join(fresh.select("date").distinct(), "date", "left_semi")
-        merged = touched.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
-        # written elsewhere first: a task may be repeated while its input is overwritten
-        fresh = materialise(merged, "upsert")
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+def upsert(docs: DataFrame, path: str, order: Column, batch: int) -> None:
+    """Write a batch of documents so that a repeated id overwrites: ``current`` reads each id's newest one.
+
+    A batch has a folder of its own and touches no other, so it costs what it holds, readers never see half of it,
+    and a repeated batch overwrites itself. Within a batch the last by ``order`` stands.
+    """
+    fresh = latest_per_id(docs, order).withColumn("date", F.to_date("timestamp"))
+    fresh.write.mode("overwrite").partitionBy("date").parquet(f"{path}/batch={batch}")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    rest = [c for c in rows.columns if c not in ("id", "date", "batch")]
+    newest = rows.groupBy("date", "id").agg(F.max_by(F.struct(*rest), "batch").alias("_doc"))
+    return newest.select("id", "_doc.*", "date")
+
+
+def current(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The documents of all batches, each id's newest. A filter on ``date`` prunes: an id's documents share their time."""
+    if schema is None:
+        return _newest(spark.read.parquet(path))
+    whole = StructType([*schema, StructField("batch", LongType()), StructField("date", DateType())])
+    return _newest(spark.read.schema(whole).parquet(path))
+
+
+def compact(spark: SparkSession, path: str, target: str, batch: int) -> None:
+    """All batches up to ``batch`` as one, in another folder, to be read in their place."""
+    rows = _newest(spark.read.parquet(path).filter(F.col("batch") <= batch))
+    rows.repartition("date", F.pmod(F.xxhash64("id"), F.lit(16))).write.partitionBy("date").parquet(f"{target}/batch={batch}")
 
 
 def alert_feed(docs: DataFrame) -> DataFrame:

@@ -36,11 +36,12 @@ def process(
     logs = parse_logs(lines, ingest_ts=when, year=F.year(when))
     if rules:
         logs = apply_rules(logs, rules, Options(shadow=True, key="raw", edits=edits))
+    # free text is always analysed
+    logs = analyze_text(logs, where=F.col("format") == "unstructured")
     if transforms is not None:
-        logs = analyze_text(logs, where=F.col("format") == "unstructured")
         logs = transform_logs(logs, transforms)
         logs = compute_once(logs, {"fields": F.map_concat("fields", "extracted")}).drop("extracted")
-    return sinks.documents(enrich_logs(logs))
+    return sinks.documents(enrich_logs(logs).withColumns({"sentiment_score": F.col("sentiment.score"), "sentiment_label": F.col("sentiment.label")}))
 
 
 def start(
@@ -58,7 +59,7 @@ def start(
     def batch(df: DataFrame, number: int) -> None:
         docs = process(df, rules=load_rules() if load_rules else None, transforms=transforms)
         order = F.struct("timestamp", "message")
-        error = sinks.write_all(docs, [lambda d: sinks.upsert(d, out, order), *(extra_sinks or [])])
+        error = sinks.write_all(docs, [lambda d: sinks.upsert(d, out, order, number), *(extra_sinks or [])])
         if error is not None:
             raise error
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from logweir.operators import ratelimit
 
@@ -25,18 +25,22 @@ def start(
 ):
     """Give the passing rows of each micro-batch to ``sink``.
 
-    Version n of the bucket table is the state after batch n, so a repeated batch starts from the same
-    levels and passes the same rows.
+    A batch writes the levels of its own keys, in a folder of its own. Each key's newest level before batch n is the
+    state that it starts from, so a repeated batch passes the same rows.
     """
-    schema = f"`{key}` {logs.schema[key].dataType.simpleString()}, level bigint, tick bigint"
+    schema = f"`{key}` {logs.schema[key].dataType.simpleString()}, level bigint, tick bigint, v bigint"
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        before = spark.read.schema(schema).parquet(f"{buckets}/v={number - 1}") if number > 0 else None
+        before = None
+        if number > 0:
+            rows = spark.read.schema(schema).parquet(buckets).filter(F.col("v") < number)
+            newest = rows.groupBy(key).agg(F.max_by(F.struct("level", "tick"), "v").alias("b"))
+            before = newest.select(key, "b.level", "b.tick")
         allowed = ratelimit.allowances(df, key=key, capacity=capacity, fill=fill, tick_ms=tick_ms, time=time, buckets=before).persist()
         try:
             sink(ratelimit.passing(df, allowed, key=key, capacity=capacity, tick_ms=tick_ms, time=time, order=order), number)
-            ratelimit.levels(allowed, key, before).write.mode("overwrite").parquet(f"{buckets}/v={number}")
+            ratelimit.levels(allowed, key).write.mode("overwrite").parquet(f"{buckets}/v={number}")
         finally:
             allowed.unpersist()
 

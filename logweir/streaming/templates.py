@@ -9,17 +9,18 @@ from logweir.operators import mining
 COLUMNS = "_key string, pattern string, frequency bigint"
 
 
-def read(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.schema(COLUMNS).parquet(f"{path}/v={version}")
+def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The table after a batch (None: the last). A group keeps the template of its first batch; frequencies add up."""
+    rows = spark.read.schema(f"{COLUMNS}, v bigint").parquet(path)
+    if version is not None:
+        rows = rows.filter(F.col("v") <= version)
+    return rows.groupBy("_key").agg(F.min_by("pattern", "v").alias("pattern"), F.sum("frequency").alias("frequency"))
 
 
 def absorb(batch: DataFrame, path: str, version: int) -> DataFrame:
-    """Merge a batch into the table as the next version. Repeating a batch rewrites the same version."""
-    spark = batch.sparkSession
-    fresh = mining.groups(batch).select("_key", "pattern", "frequency")
-    merged = mining.merge_templates(read(spark, path, version - 1), fresh) if version > 0 else fresh
-    merged.write.mode("overwrite").parquet(f"{path}/v={version}")
-    return read(spark, path, version)
+    """Add a batch's groups to the table, in a folder of their own. Repeating a batch rewrites that folder only."""
+    mining.groups(batch).select("_key", "pattern", "frequency").write.mode("overwrite").parquet(f"{path}/v={version}")
+    return read(batch.sparkSession, path, version)
 
 
 def start(logs: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logweir.operators import ratelimit as B
 from logweir.operators.filters import CompositeFilter
 from logweir.operators.model import Rule
+from logweir.operators.parse import parse_logs
 from logweir.session import scratch
 from logweir.sources import ingest, readers, sinks, stores, views
 from logweir.streaming import pipeline, ratelimit as S, templates
@@ -18,6 +19,12 @@ def lines(spark, n=120):
     return views.raw_lines(spark, FOLDER).filter(f"id < {n}").select("raw", F.col("logged_at").cast("timestamp").alias("ingest_ts"))
 
 
+def debug_lines(spark):
+    """The lines that a pipeline without rules keeps as DEBUG."""
+    logs = parse_logs(lines(spark), ingest_ts=F.col("ingest_ts"), year=F.year("ingest_ts"))
+    return logs.filter("level = 'DEBUG'").select("raw")
+
+
 def test_pipeline_stream_equals_batch_and_replays(spark):
     path = scratch(spark, "test")
     lines(spark).repartition(3).write.parquet(f"{path}/in")
@@ -25,18 +32,24 @@ def test_pipeline_stream_equals_batch_and_replays(spark):
     for attempt in ("one", "two"):  # a second run over the same input writes the same ids
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
         pipeline.start(stream, f"{path}/out", f"{path}/checkpoint-{attempt}", load_rules=lambda: [DEBUG], trigger={"availableNow": True}).awaitTermination()
-        written = {(r.id, r.level) for r in spark.read.parquet(f"{path}/out").collect()}
+        written = {(r.id, r.level) for r in sinks.current(spark, f"{path}/out").collect()}
         wanted = {(r.id, r.level) for r in pipeline.process(lines(spark), rules=[DEBUG]).collect()}
         assert written == wanted and "DEBUG" not in {x[1] for x in written}
-        assert spark.read.parquet(f"{path}/out").count() == len(written)
+        assert sinks.current(spark, f"{path}/out").count() == len(written) == lines(spark).select("raw").distinct().count() - lines(spark).join(debug_lines(spark), "raw", "left_semi").select("raw").distinct().count()
 
 
 def test_upsert_overwrites_by_id(spark):
     path = scratch(spark, "test")
     make = lambda rows: spark.createDataFrame(rows, "id string, text string, day string, n int").withColumn("timestamp", F.col("day").cast("timestamp")).drop("day")
-    sinks.upsert(make([("a", "1", "2024-01-01", 1), ("b", "1", "2024-01-02", 1), ("a", "2", "2024-01-01", 2)]), path, F.col("n"))
-    sinks.upsert(make([("b", "3", "2024-01-02", 3), ("c", "1", "2024-01-02", 1)]), path, F.col("n"))
-    assert {(r.id, r.text) for r in spark.read.parquet(path).collect()} == {("a", "2"), ("b", "3"), ("c", "1")}
+    sinks.upsert(make([("a", "1", "2024-01-01", 1), ("b", "1", "2024-01-02", 1), ("a", "2", "2024-01-01", 2)]), path, F.col("n"), 0)
+    for _ in range(2):  # a repeated batch
+        sinks.upsert(make([("b", "3", "2024-01-02", 3), ("c", "1", "2024-01-02", 1)]), path, F.col("n"), 1)
+    want = {("a", "2"), ("b", "3"), ("c", "1")}
+    assert {(r.id, r.text) for r in sinks.current(spark, path).collect()} == want
+    sinks.upsert(make([("a", "9", "2024-01-01", 0)]), path, F.col("n"), 2)
+    sinks.compact(spark, path, f"{path}-compact", 1)
+    assert {(r.id, r.text) for r in sinks.current(spark, f"{path}-compact").collect()} == want
+    assert {(r.id, r.text) for r in sinks.current(spark, path).collect()} == {("a", "9"), ("b", "3"), ("c", "1")}
 
 
 def test_rate_limit_stream_equals_batch(spark):
