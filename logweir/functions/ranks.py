@@ -19,3 +19,13 @@ def first_rows(df: DataFrame, by: list[str], order: list[str], limit: int, rank:
     near = Window.partitionBy(*plain, "_salt").orderBy(*keys)
     far = Window.partitionBy(*plain).orderBy(*keys)
     return salted.withColumn(rank, F.row_number().over(near)).filter(F.col(rank) <= limit).drop("_salt").withColumn(rank, F.row_number().over(far)).filter(F.col(rank) <= limit)
+
+
+def salted_join(rows: DataFrame, keys: DataFrame, on: str, how: str, salt: list[str]) -> DataFrame:
+    """Join many rows with few keys so that the rows of one key go to many tasks: every key is there once per salt.
+
+    ``salt``: columns of the rows that tell them apart.
+    """
+    many = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
+    few = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.join(few, [on, "_salt"], how).drop("_salt")

@@ -60,4 +60,6 @@ def slow_responses(
 def new_patterns(logs: DataFrame, since: Column, *, time: str = "timestamp") -> DataFrame:
     """Templates first seen at or after ``since``: pattern, frequency since then."""
     current, baseline = logs.filter(F.col(time) >= since), logs.filter(F.col(time) < since)
-    return mining.mine_patterns(mining.anomalies(current, baseline))
+    found = mining.new_groups(current, baseline).groupBy("pattern").agg(F.sum("frequency").alias("frequency"))
+    frequency = F.col("frequency")
+    return found.select(mining.pattern_id(F.col("pattern")).alias("id"), "pattern", "frequency", mining.severity(frequency).alias("severity"))

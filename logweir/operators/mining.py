@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweir.functions import words as W
-from logweir.functions.ranks import first_rows
+from logweir.functions.ranks import first_rows, salted_join
 from logweir.operators.model import Action, Condition, Rule
 from logweir.session import materialise
 
@@ -98,42 +98,55 @@ def mine_patterns(df: DataFrame, *, message: str = "message", order: tuple[str,
     )
 
 
-def examples(
-    df: DataFrame, keys: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id"), limit: int = EXAMPLES
-) -> DataFrame:
-    """The first ``limit`` messages per pattern of ``keys`` (``_key``, ``pattern``): pattern, rank, example.
+def pattern_stats(df: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
+    """``mine_patterns`` plus the first three examples."""
+    found = counted(groups(df, message=message, order=order))
+    out = with_examples(df, found, message=message, order=order)
+    return out.select(pattern_id(F.col("pattern")).alias("id"), "pattern", F.col("total").alias("frequency"), severity(F.col("total")).alias("severity"), "examples")
 
-    A hot group is first cut to ``limit`` rows for each of its salts.
-    """
-    rows = with_key(df, message).select("_key", message, *order)
-    first = first_rows(rows, ["_key"], list(order), limit, "rank").drop("rank")
-    named = first.join(keys.select("_key", "pattern"), "_key")
-    return first_rows(named, ["pattern"], list(order), limit, "rank").select("pattern", "rank", F.col(message).alias("example"))
 
+def counted(found: DataFrame) -> DataFrame:
+    """Groups with ``total``, the frequency of their template: groups can share a template."""
+    return found.withColumn("total", F.sum("frequency").over(Window.partitionBy("pattern")))
 
-def pattern_stats(df: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
-    """``mine_patterns`` plus the first three examples, most frequent first."""
-    found = groups(df, message=message, order=order)
-    rows = examples(df, found, message=message, order=order)
-    listed = rows.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("_e"))  # three at most
-    counted = mine_patterns(df, message=message, order=order)
-    return counted.join(listed.select("pattern", F.col("_e.example").alias("examples")), "pattern").select(
-        "id", "pattern", "frequency", "severity", "examples"
-    )
+
+def with_examples(df: DataFrame, found: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id"), limit: int = EXAMPLES) -> DataFrame:
+    """One row per template of ``found`` (counted groups): pattern, total, examples."""
+    rows = first_rows(with_key(df, message).select("_key", message, *order), ["_key"], list(order), limit, "rank").drop("rank")
+    named = rows.join(found.select("_key", "pattern", "total"), "_key")
+    first = first_rows(named, ["pattern"], list(order), limit, "rank")
+    listed = first.groupBy("pattern").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("rank", F.col(message).alias("example")))).alias("_e"))  # ``limit`` at most
+    return listed.select("pattern", "total", F.col("_e.example").alias("examples"))
 
 
 def anomalies(
     current: DataFrame, baseline: DataFrame | None, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")
 ) -> DataFrame:
     """Current rows whose template the baseline does not have; without a baseline, all rows."""
-    keyed = with_key(current, message)
     if baseline is None:
-        return keyed.drop("_key")
-    known = groups(baseline, message=message, order=order).select("_key", "pattern")
-    fresh = groups(current, message=message, order=order).select("_key", "pattern")
-    # a group the baseline has keeps the baseline's template; a new one may still spell a known template
-    unseen = fresh.join(known.select("_key"), "_key", "left_anti").join(known.select("pattern"), "pattern", "left_anti")
-    return keyed.join(unseen.select("_key"), "_key", "left_semi").drop("_key")
+        return current
+    unseen = new_groups(current, baseline, message=message, order=order)
+    return salted_join(with_key(current, message), unseen.select("_key"), "_key", "left_semi", list(order)).drop("_key")
+
+
+def new_groups(current: DataFrame, baseline: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
+    """Groups of the current rows whose template the baseline does not have: _key, pattern, frequency. One aggregate over both sides."""
+    both = current.select(message, *order, F.lit(True).alias("_now")).unionByName(baseline.select(message, *order, F.lit(False).alias("_now")))
+    text, now = F.coalesce(message, F.lit("")), F.col("_now")
+    found = (
+        with_key(both, message)
+        .groupBy("_key")
+        .agg(
+            F.count_if(now).alias("frequency"),
+            F.count_if(~now).alias("_before"),
+            # a group the baseline has keeps the baseline's template
+            F.min_by(text, F.struct("_now", *order)).alias("_message"),
+        )
+        .withColumn("pattern", template(F.col("_message")))
+    )
+    # a new group may still spell a known template
+    known = F.max("_before").over(Window.partitionBy("pattern"))
+    return found.withColumn("_known", known).filter("_known = 0").select("_key", "pattern", "frequency")
 
 
 def clusters(df: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
@@ -147,9 +160,9 @@ def clusters(df: DataFrame, *, message: str = "message", order: tuple[str, ...]
 
 def cluster_members(df: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
     """Every row with the id of its cluster: members stay rows, a cluster is never one value."""
-    found = groups(df, message=message, order=order)
-    large = found.join(found.groupBy("pattern").agg(F.sum("frequency").alias("_n")).filter("_n >= 2"), "pattern", "left_semi")
-    return with_key(df, message).join(large.select("_key", pattern_id(F.col("pattern")).alias("cluster_id")), "_key").drop("_key")
+    large = counted(groups(df, message=message, order=order)).filter("total >= 2")
+    named = large.select("_key", pattern_id(F.col("pattern")).alias("cluster_id"))
+    return salted_join(with_key(df, message), named, "_key", "inner", list(order)).drop("_key")
 
 
 def recommend_rules(patterns: DataFrame, min_frequency: int = 10) -> DataFrame:

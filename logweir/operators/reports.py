@@ -42,20 +42,11 @@ def top_patterns(logs: DataFrame, service: str, *, component: str | None = None,
     """Templates of the service by number of rows, with up to ``samples`` member messages each."""
     mine = logs.filter(F.col("service") == service)
     rows = mine.filter(F.col("component") == component) if component else mine
-    found = mining.groups(rows)
-    counted = found.groupBy("pattern").agg(F.sum("frequency").alias("count"))
     total = mine.agg(F.count(F.lit(1)).alias("total_logs"))  # one row
-    top = counted.orderBy(F.desc("count"), "pattern").limit(limit)
-    keys = found.join(F.broadcast(top.select("pattern")), "pattern", "left_semi")
-    listed = (
-        mining.examples(rows, keys, limit=samples)
-        .groupBy("pattern")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("_e"))  # `samples` at most
-    )
-    return (
-        top.join(listed, "pattern")
-        .crossJoin(F.broadcast(total))
-        .select("pattern", "count", (F.col("count") / F.col("total_logs") * 100).alias("percentage"), F.col("_e.example").alias("sample_logs"), "total_logs")
+    listed = mining.with_examples(rows, mining.counted(mining.groups(rows)), limit=samples)
+    top = listed.withColumnRenamed("total", "count").orderBy(F.desc("count"), "pattern").limit(limit)
+    return top.crossJoin(F.broadcast(total)).select(
+        "pattern", "count", (F.col("count") / F.col("total_logs") * 100).alias("percentage"), F.col("examples").alias("sample_logs"), "total_logs"
     )
 
 
