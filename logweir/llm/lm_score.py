@@ -86,9 +86,9 @@ def count(df: DataFrame, target: DataFrame, key: str, text: str, tables: Tables)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
     rows = rows.join(mine, F.col("key") == F.col("t_key"), "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
     summed = rows.mapInArrow(tally, "slot int, everywhere long, target long").groupBy("slot").agg(F.sum("everywhere").alias("everywhere"), F.sum("target").alias("target"))
-    got = summed.toPandas()
-    out = np.zeros((2, tables.size), np.float32)
-    out[0, got["slot"]], out[1, got["slot"]] = got["everywhere"], got["target"]
+    got = summed.toArrow()  # as many rows as there are slots at most
+    out, slot = np.zeros((2, tables.size), np.float32), got["slot"].to_numpy()
+    out[0, slot], out[1, slot] = got["everywhere"].to_numpy(), got["target"].to_numpy()
     return out[0], out[1]
 
 

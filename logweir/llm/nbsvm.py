@@ -163,7 +163,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     known = known.filter(~held_out(F.col("key"))).groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     picked = known.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
-    found = texts.join(F.broadcast(picked), "key").mapInArrow(extract, "key long, label int, found binary").toPandas()
+    found = texts.join(F.broadcast(picked), "key").mapInArrow(extract, "key long, label int, found binary").toArrow().to_pandas()
     found = found.sort_values(["key", "label"], kind="stable").drop_duplicates("key").reset_index(drop=True)
     return fit_rows([np.frombuffer(x, "<i4") for x in found["found"]], found["label"].to_numpy() == 1, **options)
 

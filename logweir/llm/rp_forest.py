@@ -162,7 +162,7 @@ def search(df: DataFrame, every: int = 50, key: str = "vec_id", vector: str = "e
     audited = [(r["vec_id"], r["vec"]) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(plan.audit_queries).collect()]
     if not audited:
         return empty
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(plan.seed)), "vec_id").limit(plan.sample_rows).toPandas().sort_values("vec_id")
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(plan.seed)), "vec_id").limit(plan.sample_rows).toArrow().to_pandas().sort_values("vec_id")
     trees = fit(unit(matrix(list(sample["vec"]))), total, plan)
     sent = spark.sparkContext.broadcast(trees)
     cells = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("id", pa.int64()), ("data", pa.binary())])
@@ -179,7 +179,7 @@ def search(df: DataFrame, every: int = 50, key: str = "vec_id", vector: str = "e
     counts = np.zeros((plan.trees, 1 << trees.depth), np.int64)
     for r in placed.groupBy("tree", "leaf").count().collect():  # as many rows as there are leaves
         counts[r["tree"], r["leaf"]] = r["count"]
-    truth = _audit(rows, audited, plan).toPandas()
+    truth = _audit(rows, audited, plan).toArrow().to_pandas()
     # every vector is in one leaf of each tree: so many rows hold enough different ones
     budget = max(_budget(trees, counts, audited, truth, plan), plan.trees * (plan.neighbours + 1))
     tables = spark.sparkContext.broadcast((trees, counts))

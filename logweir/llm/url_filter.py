@@ -16,7 +16,7 @@ SIZES = (3, 4, 5)
 EPOCHS = 300
 RATE = 2.0
 DECAY = 0.0005
-MOST_LABELLED = 5_000
+MOST_LABELLED = 500
 
 # verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
