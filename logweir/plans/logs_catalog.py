@@ -556,7 +556,18 @@ def strategy_decide(spark, folder):
     return S.decide(_logs(spark, folder).withColumn("environment", F.lit("prod")), STRATEGIES).select("id", "decision.*")
 
 
-@query("rate_limit")
+# a bucket of five per service, one more each hour; the level goes from hour to hour
+_LIMITED = O.logs(
+    "select id, service from (select *, row_number() over (partition by service, tick order by \"timestamp\", id) place from ticked) join levels using (service, tick) where place <= allowed",
+    'ticked as (select id, service, "timestamp", epoch_ms("timestamp") // 3600000 tick from logs)',
+    "counts as (select service, tick, count(*) n, row_number() over (partition by service order by tick) step from ticked group by 1, 2)",
+    """levels as (select service, tick, step, least(5, n) allowed, 5 - least(5, n) left_over from counts where step = 1
+    union all select c.service, c.tick, c.step, least(c.n, least(5, l.left_over + c.tick - l.tick)), least(5, l.left_over + c.tick - l.tick) - least(c.n, least(5, l.left_over + c.tick - l.tick))
+    from levels l join counts c on c.service = l.service and c.step = l.step + 1)""",
+).replace("with ", "with recursive ", 1)
+
+
+@query("rate_limit", _LIMITED)
 def rate_limit(spark, folder):
     return B.rate_limit(_logs(spark, folder), key="service", capacity=5, fill=1, tick_ms=3_600_000).select("id", "service")
 
@@ -677,7 +688,7 @@ def pipeline_stream(spark, folder):
     return found.groupBy("service", "level").agg(F.count(F.lit(1)).alias("documents"), F.count_if(mood & named).alias("analysed"))
 
 
-@query("rate_limit_stream")
+@query("rate_limit_stream", _LIMITED)
 def rate_limit_stream(spark, folder):
     path = scratch(spark, "limit")
     logs = views.logs_from_events(readers.stream_table(spark, folder, "events")).select("id", "service", "timestamp")
