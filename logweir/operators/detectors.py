@@ -52,7 +52,12 @@ def slow_responses(
     time: str = "timestamp",
 ) -> DataFrame:
     """Buckets whose percentile rose by ``ratio`` against the mean percentile of the buckets before."""
-    buckets = logs.groupBy(by, _bucket(time, seconds).alias("bucket")).agg(F.percentile_approx(value, percent, 10000).alias("observed"))
+    # equal values are counted first; the first value with enough rows up to it is the exact percentile
+    group = [by, "bucket"]
+    counts = logs.filter(F.col(value).isNotNull()).groupBy(by, _bucket(time, seconds).alias("bucket"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(Window.partitionBy(*group))})
+    buckets = ranked.filter(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(percent) - 1e-9)).groupBy(*group).agg(F.min("_v").alias("observed"))
     mean = F.avg("observed").over(_trailing(by, trailing))
     return buckets.withColumn("expected", mean).filter(F.col("observed") >= F.col("expected") * ratio)
 

@@ -51,6 +51,10 @@ AUDIT_ENTRY = T.StructType(
 )
 
 
+COUNTERS = ("rule_matched", "rule_actions", "rule_failed")
+ENDED = "rule_ended"
+
+
 @dataclass(frozen=True)
 class Options:
     fields: str | None = "fields"
@@ -59,6 +63,7 @@ class Options:
     seed: int = 0
     compat: bool = False  # keep decision of the original engine on termination, see rules_terminate
     audit: bool = False
+    counters: bool = False  # four columns that ``rule_stats`` sums, without an audit
     edits: bool = True  # False: only the decision takes effect
     operators: dict[str, Operator] | None = None
     handlers: dict[str, Handler] | None = None
@@ -76,7 +81,7 @@ def apply_rules(df: DataFrame, rules: list[Rule], options: Options = Options(),
     if entry.shadow:
         # parsed logs: their columns are costly, and a filter on a shadowed column cannot reach a scan anyway
         df = settle(df)
-    if drop and not options.audit:
+    if drop and not options.audit and not options.counters:
         df, todo = _leading_drops(df, todo, entry, options)
         if not todo:
             return df
@@ -84,6 +89,8 @@ def apply_rules(df: DataFrame, rules: list[Rule], options: Options = Options(),
     init = {KEEP: F.lit(True), _DONE: F.lit(False)}
     if options.audit:
         init |= {AUDIT: F.array().cast(T.ArrayType(AUDIT_ENTRY)), ERRORS: F.lit(0)}
+    if options.counters:
+        init |= {c: F.lit(0) for c in COUNTERS}
     if not options.edits:
         # the edits go to copies, the originals come back at the end
         copies = {f"_before_{c}": F.col(c) for c in columns}
@@ -92,7 +99,9 @@ def apply_rules(df: DataFrame, rules: list[Rule], options: Options = Options(),
     for group in _groups(todo, entry, options):
         df = _run(df, group, entry, options)
     out = [F.col(c) if options.edits else F.col(f"_before_{c}").alias(c) for c in before.columns]
-    extra = ([] if drop else [KEEP]) + ([AUDIT, ERRORS] if options.audit else [])
+    extra = ([] if drop else [KEEP]) + ([AUDIT, ERRORS] if options.audit else []) + ([*COUNTERS, ENDED] if options.counters else [])
+    if options.counters:
+        df = df.withColumn(ENDED, F.col(_DONE))
     return (df.filter(KEEP) if drop else df).select(*out, *extra)
 
 
@@ -145,7 +154,7 @@ def _groups(rules: list[Rule], entry: Entry, options: Options) -> list[list[Rule
 
 def _decides_only(rules: list[Rule], options: Options) -> bool:
     custom = options.handlers or {}
-    return not options.audit and not options.compat and all(
+    return not options.audit and not options.counters and not options.compat and all(
         a.type in ("keep", "drop", "sample") and a.type not in custom for r in rules for a in r.actions
     )
 
@@ -240,6 +249,10 @@ def _run(df: DataFrame, rules: list[Rule], entry: Entry, options: Options) -> Da
             out = keep if effect.ok is None else F.when(F.col(f"_ok{i}_{j}"), keep).otherwise(out)
         return out
 
+    def failed(i: int) -> Column:
+        uncertain = [j for stage in stages[i] for j in stage if kept[i, j].ok is not None]
+        return sum((F.when(F.col(f"_ok{i}_{j}"), 0).otherwise(1) for j in uncertain), F.lit(0))
+
     keep = None
     for i in reversed(range(len(rules))):
         if rules[i].actions:
@@ -262,6 +275,9 @@ def _run(df: DataFrame, rules: list[Rule], entry: Entry, options: Options) -> Da
             if m.faulty:
                 errors = errors + F.when(F.col(f"_m{i}").isNull() & (F.col(_STOP) >= i), 1).otherwise(0)
         final[ERRORS] = F.col(ERRORS) + errors
+    if options.counters:
+        for name, weight in zip(COUNTERS, (lambda i: F.lit(1), lambda i: F.lit(len(rules[i].actions)), failed), strict=True):
+            final[name] = sum((F.when(active(i), weight(i)).otherwise(0) for i in range(len(rules))), F.col(name))
     df = df.withColumns(final)
     scratch = [c for c in df.columns if c == _STOP or c.startswith(("_m", "_ok", "_keep", "_meta")) and c[-1].isdigit()]
     return df.drop(*scratch)
@@ -307,13 +323,11 @@ def audit_rows(audited: DataFrame, *keys: str) -> DataFrame:
     return audited.select(*keys, F.posexplode(AUDIT).alias("position", "entry")).select(*keys, "position", "entry.*")
 
 
-def rule_stats(audited: DataFrame) -> DataFrame:
-    """Engine counters: one evaluation per match, and one more for each row that no rule terminated."""
-    matched = F.size(AUDIT)
-    ended = F.exists(AUDIT, lambda a: a.terminate)
-    actions = F.aggregate(AUDIT, F.lit(0), lambda acc, a: acc + a.planned)
-    failures = F.aggregate(AUDIT, F.lit(0), lambda acc, a: acc + F.size(F.filter(a.actions, lambda x: ~x.success)))
-    return audited.agg(
+def rule_stats(ruled: DataFrame) -> DataFrame:
+    """Engine counters of rows ruled with ``counters``: one evaluation per match, and one more for each row that no rule terminated."""
+    matched, actions, failures = (F.col(c) for c in COUNTERS)
+    ended = F.col(ENDED)
+    return ruled.agg(
         F.coalesce(F.sum(matched + F.when(ended, 0).otherwise(1)), F.lit(0)).alias("total_evaluations"),
         F.coalesce(F.sum(matched), F.lit(0)).alias("matched_evaluations"),
         F.coalesce(F.sum(actions), F.lit(0)).alias("actions_executed"),

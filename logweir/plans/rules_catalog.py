@@ -299,7 +299,7 @@ def rules_audit(spark, folder):
     ),
 )
 def rules_stats(spark, folder):
-    return R.rule_stats(run(spark, folder, FLOW, Options(audit=True), drop=False))
+    return R.rule_stats(run(spark, folder, FLOW, Options(counters=True), drop=False))
 
 
 @query("rules_single", O.logs("select id, level = 'ERROR' matched, case when level = 'ERROR' then 'E' else level end level from logs"))

@@ -68,8 +68,15 @@ def test_fixture_frequencies(spark):
 
 def test_severity_and_recommendation(spark):
     df = logs(spark, ["Frequent error message"] * 100 + ["Payment failed"] * 51 + ["hot 1 x"] * 101 + ["rare"] * 50)
-    found = {r.keywords: r.priority for r in M.recommend_rules(M.mine_patterns(df)).collect()}
-    assert found == {"Frequent error message": 2, "Payment failed": 2, "hot  x": 1}
+    rows = M.recommend_rules(M.mine_patterns(df)).collect()
+    found = {r.name.removeprefix("Auto-generated rule for: "): (r.priority, r.operator, r.action) for r in rows}
+    assert found == {"Frequent error message": (2, "matches", "mark"), "Payment failed": (2, "matches", "mark"), "hot <*> x": (1, "matches", "mark")}
+    # a rule matches the messages of its template and no others
+    value = {r.name.removeprefix("Auto-generated rule for: "): r.value for r in rows}
+    cases = {"hot <*> x": ["hot 7 x", "hot=7, x"], "Payment failed": ["Payment failed", "[Payment] failed "]}
+    for name, texts in cases.items():
+        assert all(re.search(value[name], t) for t in texts)
+        assert not any(re.search(value[name], t) for t in ["hot a x", "hot 7 x y", "Payment failed twice", "no Payment failed", "hot 7"])
     assert {r.center: r.size for r in M.clusters(logs(spark, ["Same message"] * 3 + ["Different message"] * 2 + ["alone"])).collect()} == {
         "Same message": 3, "Different message": 2,
     }
