@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import Batches, batch, stored
+from logweir.llm.common import Batches, batch, discard, stored
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 LINKS_PER_FLUSH = 1 << 20
+FEW = 1 << 20
 
 
 def roots(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,10 +51,11 @@ def _contract(batches: Batches) -> Batches:
         yield batch(LINKS, *stars(np.concatenate(a), np.concatenate(b)))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """``links``: long columns a, b. Returns ``node``, ``root`` (the component's smallest node) for every node that is linked.
 
-    Tasks first replace their own links by stars. Then every node's larger neighbours are linked to its smallest one, and its smaller
+    Tasks first replace their own links by stars. No more than ``few`` links that are left are finished by one task, which holds them
+    all (16 bytes each). While there are more, every node's larger neighbours are linked to its smallest one, and its smaller
     neighbours likewise, until nothing changes; the rounds grow with the logarithm of the longest chain. Minima are
     aggregated before they are shuffled, so a node with very many links is no task's burden.
     """
@@ -64,6 +66,10 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+        if state[0] <= few:
+            last, now = now, stored(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "links")
+            discard(last)
+            break
         # larger neighbours to the smallest of the neighbourhood
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -72,6 +78,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(lowest.select("a", F.col("m").alias("b")))
-        now = stored(small.distinct(), "links")
+        last, now = now, stored(small.distinct(), "links")
+        discard(last)
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(tops)

@@ -22,11 +22,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweir.llm.common import WORD, Batches, batch, runs, stored
+from logweir.llm.common import WORD, Batches, batch, discard, runs, stored
 from logweir.llm.components import components, stars
 
 _MIX1, _MIX2, _WORD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 PAIRS_PER_FLUSH = 1 << 18
 
 
@@ -40,7 +40,7 @@ class Forest:
     slack: float = 5.0  # standard errors below the similarity at which a signature still counts
     seed: int = 1
     bucket_block: int = 2048  # classes
-    family_block: int = 400_000  # runs of words
+    family_block: int = 100_000  # runs of words
 
     @property
     def hashes(self) -> int:
@@ -203,15 +203,16 @@ def search(classes: DataFrame, forest: Forest) -> DataFrame:
     """Links between classes that may be similar, with prefixes as short as the target recall asks for."""
     for depth in range(forest.depth, 0, -1):
         found = stored(candidates(classes, depth, forest), "candidates")
-        agreed = found.filter("weight is not null").groupBy("a").agg(F.sum("weight").alias("weight")).toPandas()
+        agreed = found.filter("weight is not null").groupBy("a").agg(F.sum("weight").alias("weight")).toArrow().to_pandas()
         similarity = agreed["a"].to_numpy(float) / forest.hashes
         similar = similarity >= forest.similarity
         seen = agreed["weight"].to_numpy(float)[similar]
         there = (seen / forest.chance(similarity[similar], depth)).sum()
         # without a single pair the target is judged at the similarity itself
         recall = seen.sum() / there if there else float(forest.chance(np.array(forest.similarity), depth))
-        if recall >= forest.recall:
+        if recall >= forest.recall or depth == 1:
             break
+        discard(found)
     return found.filter("weight is null").select("a", "b")
 
 
@@ -340,6 +341,7 @@ def _joined(df: DataFrame, key: str, text: str, forest: Forest) -> DataFrame:
     small = small.withColumn("root", F.coalesce("root", "cls"))
     smallest = small.groupBy("root").agg(F.min("class_id").alias("group_id"))
     small = stored(small.join(smallest, "root").select("cls", "root", "class_id", "group_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "groups")
+    discard(classes, links, families, verified, groups)
     grouped = with_words.select("key", "text_hash", "cls").join(small, "cls").drop("cls")
     alone = rows.filter("cls is null").select("key", "text_hash", F.lit(None).cast("long").alias("root"), F.col("key").alias("class_id"), F.col("key").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
     return grouped.unionByName(alone)

@@ -18,7 +18,9 @@ def test_components(spark, shape):
         "star": [(500, i) for i in range(100)] + [(7, 7)],
         "none": [],
     }[shape]
-    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()}
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {r.node: r.root for r in components(links, few=-1).collect()}
     nodes = sorted({x for a, b in pairs if a != b for x in (a, b)})
     root = reach(501, pairs)
     low = {}
