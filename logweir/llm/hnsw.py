@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import stored
+from logweir.llm.common import discard, stored
 from logweir.llm.components import components, stars
 from logweir.llm.vectors import cosine, matrix, unit, usable
 
@@ -339,6 +339,8 @@ def groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     small = nodes.select("node", "copies", "least").join(linked, "node", "left").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = small.groupBy("root").agg(F.min("least").alias("component_id"))
     small = small.join(ids, "root").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    whole = rows.select("key", "node").filter("node is not null").join(stored(small, "vector-groups"), "node").select("key", "n_links", "component_id")
+    small = stored(small, "vector-groups")
+    discard(nodes, graphs, found, comps)
+    whole = rows.select("key", "node").filter("node is not null").join(small, "node").select("key", "n_links", "component_id")
     alone = rows.filter("node is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return whole.unionByName(alone).select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logweir.llm.common import pieces, stored, word_count
+from logweir.llm.common import discard, pieces, stored, word_count
 
 ROWS_PER_BUCKET = 50_000
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -54,7 +54,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     finish time), summed, and each bucket starts at the sum of those before it.
     """
     rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(source).alias("source"), word_count(text).alias("size"))
-    rows = stored(rows.withColumn("turn", F.xxhash64("key", "text_hash", F.lit(seed))), "mix-sizes")
+    rows = sized = stored(rows.withColumn("turn", F.xxhash64("key", "text_hash", F.lit(seed))), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     shares = targets(sizes, weights, budget, repeats)
     buckets = pieces(rows.count(), rows_per_bucket)
@@ -80,6 +80,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
     sums = copies.groupBy("stretch").agg(F.sum("size").alias("n")).select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     words = float(rows.agg(F.sum("size")).first()[0] or 0) * budget
+    discard(sized)
     sums = sums.filter(F.col("start") < words)
     merged = Window.partitionBy("stretch").orderBy("finish", "source", "turn", "key", "text_hash", "place", "pass").rowsBetween(Window.unboundedPreceding, 0)
     placed = copies.join(sums, "stretch").withColumn("end", F.col("start") + F.sum("size").over(merged))
