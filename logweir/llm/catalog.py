@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import hnsw, lm_score, lsh_forest, mixing, nbsvm, packing, rp_forest, sharding, token_files, url_filter
+from logweir.llm import hnsw, lm_score, lsh_forest, mixing, nbsvm, oracle, packing, rp_forest, sharding, token_files, url_filter
 from logweir.llm.common import remove_path, shared_path, stored, table
 from logweir.plans.registry import Query
 
@@ -58,7 +58,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_embedding_dedup": Query(op1_embedding_dedup),
+    "op1_embedding_dedup": Query(op1_embedding_dedup, oracle.VECTOR_GROUPS),
     "op2_url_filter": Query(op2_url_filter),
     "op3_packing": Query(op3_packing),
     "op4_lm_scoring": Query(op4_lm_scoring),
@@ -66,6 +66,6 @@ QUERIES = {
     "op6_token_files": Query(op6_token_files),
     "op7_mixing": Query(op7_mixing),
     "op8_nearest": Query(op8_nearest),
-    "op9_ngram_join": Query(op9_ngram_join),
+    "op9_ngram_join": Query(op9_ngram_join, oracle.TEXT_GROUPS),
     "op10_quality": Query(op10_quality),
 }
