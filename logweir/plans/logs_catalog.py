@@ -656,13 +656,13 @@ def topic_rows(spark, folder):
 # ---- streams ----
 
 
-@query("alerts_stream", O.logs(f"select {_FIRED_COLUMNS} from fired where start + win <= (select floor(epoch(max(\"timestamp\"))) from logs) - 60", _FIRED))
+@query("alerts_stream", O.logs(f"select {_FIRED_COLUMNS} from fired", _FIRED))
 def alerts_stream(spark, folder):
     path = scratch(spark, "alerts")
     logs = views.logs_from_events(readers.stream_table(spark, folder, "events"))
     for q in stream_alerts.start(logs, ALERTS, f"{path}/out", f"{path}/checkpoint", trigger={"availableNow": True}):
         q.awaitTermination()
-    return _alert_columns(spark.read.schema(A.evaluate(_logs(spark, folder), ALERTS).schema).parquet(f"{path}/out"))
+    return _alert_columns(stream_alerts.read(spark, f"{path}/out"))
 
 
 @query(

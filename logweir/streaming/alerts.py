@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from logweir.operators.alerts import AlertRule, fired, matches
+from logweir.schemas import ALERT
 
 
 def evaluate(logs: DataFrame, rules: list[AlertRule], *, lateness: str = "1 minute", fields: str | None = "fields", time: str = "timestamp") -> list[DataFrame]:
-    """One streaming result per window length; alerts appear when the watermark passes the window's end.
+    """One streaming result per window length, for update mode: an alert appears when its window reaches the threshold, and again with every higher count.
 
     Only counts per open window and rule are kept as state. Rows later than the watermark are dropped
     by Spark and counted in the query's progress.
@@ -27,9 +29,26 @@ def evaluate(logs: DataFrame, rules: list[AlertRule], *, lateness: str = "1 minu
 
 
 def start(logs: DataFrame, rules: list[AlertRule], out: str, checkpoint: str, *, lateness: str = "1 minute", trigger: dict | None = None, **kw) -> list:
-    """Write fired alerts below ``out``, one query and folder per window length."""
+    """Write fired alerts below ``out``, one query and folder per window length and one folder per batch; ``read`` gives their last counts.
+
+    The windows that are still open when a run ends have fired as far as they were filled.
+    """
+
+    def writer_to(folder: str):
+        def write(df: DataFrame, number: int) -> None:
+            df.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+        return write
+
     queries = []
     for n, alerts in enumerate(evaluate(logs, rules, lateness=lateness, **kw)):
-        writer = alerts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{checkpoint}/{n}")
-        queries.append(writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start(f"{out}/part={n}"))
+        writer = alerts.writeStream.foreachBatch(writer_to(f"{out}/part={n}")).outputMode("update").option("checkpointLocation", f"{checkpoint}/{n}")
+        queries.append(writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start())
     return queries
+
+
+def read(spark: SparkSession, out: str) -> DataFrame:
+    """Each alert once, with the count of its last batch."""
+    rows = spark.read.schema(StructType([*ALERT, StructField("part", IntegerType()), StructField("batch", LongType())])).parquet(out)
+    rest = [f for f in rows.columns if f not in ("id", "part", "batch")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rest), "batch").alias("_a")).select("id", "_a.*")
