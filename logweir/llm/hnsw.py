@@ -25,6 +25,7 @@ from logweir.llm.vectors import cosine, matrix, unit, usable
 
 
 BRIDGE = 0.02
+ROUNDING = 5e-6
 
 
 @dataclass(frozen=True)
@@ -234,6 +235,10 @@ def near_nodes(graph: Graph, queries: np.ndarray, least: float, width: int) -> I
     width, each = min(width, n), max(1, min(256, (1 << 24) // max(1, n)))
     for at in range(0, len(queries), each):
         own = queries[at : at + each]
+        if width == n:  # a beam as wide as the graph holds every node
+            r, t = np.nonzero(own @ graph.points.T >= least)
+            yield at + r, t
+            continue
         found, sims = graph.beam(own, graph.descend(own, 0), width, 0, n)
         # a little below, to cross gaps; the true measure decides later
         row, col = np.nonzero((sims >= least - BRIDGE) & (found >= 0))
@@ -248,13 +253,17 @@ def audited(graph: Graph, queries: np.ndarray, plan: Plan, least: float) -> int:
     """A beam with which the audit's walks find the target share of all near nodes; at last one as wide as the graph."""
     n = len(graph.points)
     some = queries[np.linspace(0, len(queries) - 1, min(plan.audit, len(queries))).astype(int)]
-    there = int((some @ graph.points.T >= least).sum())
+    # a product of matrices and a walk may round a pair at the very bound to its two sides
+    there = some @ graph.points.T >= least + ROUNDING
     width = min(plan.beam, n)
     while width < n:
-        got = sum(len(q) for q, _ in near_nodes(graph, some, least, width))
-        if got >= plan.recall * there:
+        got = np.zeros(there.shape, bool)
+        for q, found in near_nodes(graph, some, least, width):
+            got[q, found] = True
+        if (there & got).sum() >= plan.recall * there.sum():
             break
-        width = min(2 * width, n)
+        # a beam that holds an eighth of the graph has seen about all of it: take all
+        width = 2 * width if 16 * width < n else n
     return width
 
 
