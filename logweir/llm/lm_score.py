@@ -84,7 +84,8 @@ def count(df: DataFrame, target: DataFrame, key: str, text: str, tables: Tables)
 
     mine = target.select(F.col(key).alias("t_key")).filter("t_key is not null").distinct().withColumn("own", F.lit(True))
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    rows = rows.join(mine, F.col("key") == F.col("t_key"), "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
+    # the target's keys grow with the documents: they are never broadcast, whatever the size
+    rows = rows.join(mine.hint("merge"), F.col("key") == F.col("t_key"), "left").select("text", F.coalesce("own", F.lit(False)).alias("own"))
     summed = rows.mapInArrow(tally, "slot int, everywhere long, target long").groupBy("slot").agg(F.sum("everywhere").alias("everywhere"), F.sum("target").alias("target"))
     got = summed.toArrow()  # as many rows as there are slots at most
     out, slot = np.zeros((2, tables.size), np.float32), got["slot"].to_numpy()
