@@ -211,6 +211,37 @@ def test_op4_over_its_table(spark):
     assert all(r.target_loss == pytest.approx(want[r.doc_id][1], rel=1e-4) and r.background_loss == pytest.approx(want[r.doc_id][2], rel=1e-4) for r in got)
 
 
+def test_lm_counts_are_exact(spark, monkeypatch):
+    """More words and pairs than any table of fixed size had slots for: each still has a count of its own."""
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 400_000, 40_000))) for i in range(30)]
+    rows += [(100, "v1 v2 v1 v2"), (101, None), (None, "v1 v2"), (102, " "), (102, "v1 v2 rare")]
+    target = {0, 1, 100, 102}
+    found = [(k, words(t)) for k, t in rows]
+    alone, before, pairs = ([Counter(), Counter()] for _ in range(3))
+    for k, w in found:
+        for own in {0, int(k in target)}:
+            alone[own].update(w)
+            before[own].update([None, *w][: len(w)])
+            pairs[own].update(zip([None, *w], w, strict=False))
+    assert len(alone[0]) > 1 << 18 and len(pairs[0]) > 1 << 20
+    want = []
+    for k, w in found:
+        loss = []
+        for own in (1, 0):
+            unseen = sum(alone[own].values()) + max(lm_score.VOCABULARY, len(alone[0]))
+            each = [-math.log((pairs[own][x, y] + 100 * (alone[own][y] + 1) / unseen) / (before[own][x] + 100)) for x, y in zip([None, *w], w, strict=False)]
+            loss.append(float(np.mean(each)) if each else 0.0)
+        want.append((str(k), len(w), *loss))
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 100_000, raising=False)
+    keys = spark.createDataFrame([(k,) for k in target] + [(None,)], "doc_id long")
+    got = lm_score.score(documents(spark, rows).repartition(3), keys).collect()
+    for r, w in zip(sorted((str(r.doc_id), r.n_words, r.target_loss, r.background_loss) for r in got), sorted(want), strict=True):
+        assert r[:2] == w[:2] and r[2:] == pytest.approx(w[2:], rel=1e-9)
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage against what its operator says of the stage's own input; the last holds every id of what is left."""
     from collections import Counter
