@@ -3,7 +3,7 @@
 Vectors are compared only under equal labels. Equal vectors are one node. The nodes of a label are dealt into shards, each
 with a graph of its own; every node queries every shard of its label. A query walks down the layers with a beam; from the near nodes
 that the beam holds it follows all links to other near nodes. The beam is widened until an audit (some nodes against the whole
-shard, by brute force) finds no near node that the walks missed. Near nodes are then verified by cosine in double precision.
+shard, by brute force) finds no near node, and none of their ten nearest, that the walks missed. Near nodes are then verified by cosine in double precision.
 
 Shards and blocks of queries have bounded sizes, and every pair of them is a piece of work of its own. Pairs of vectors live
 only inside such a task: it sends on each node's number of links, and a star for each of its components.
@@ -35,6 +35,7 @@ class Plan:
     build_beam: int = 48
     beam: int = 32
     audit: int = 64
+    audit_nearest: int = 10  # of each audited query, itself not counted
     recall: float = 1.0
     shard_rows: int = 8_192
     query_rows: int = 2_048
@@ -250,20 +251,28 @@ def near_nodes(graph: Graph, queries: np.ndarray, least: float, width: int) -> I
 
 
 def audited(graph: Graph, queries: np.ndarray, plan: Plan, least: float) -> int:
-    """A beam with which the audit's walks find the target share of all near nodes; at last one as wide as the graph."""
+    """A beam with which the audit's walks find the target share of all near nodes, and of each query's nearest nodes however far they are;
+    at last one as wide as the graph. Near nodes alone are too few to go by where links are sparse."""
     n = len(graph.points)
     some = queries[np.linspace(0, len(queries) - 1, min(plan.audit, len(queries))).astype(int)]
+    sims = some @ graph.points.T
     # a product of matrices and a walk may round a pair at the very bound to its two sides
-    there = some @ graph.points.T >= least + ROUNDING
-    width = min(plan.beam, n)
+    there = sims >= least + ROUNDING
+    own = (sims >= 1 - ROUNDING).any(axis=1)  # the query itself, which any walk finds, tells nothing
+    ranked = -np.sort(-sims, axis=1)[:, : plan.audit_nearest + 1]
+    ranked = np.where(own[:, None], ranked[:, 1:], ranked[:, :-1]) if n > plan.audit_nearest else ranked
+    width = min(max(plan.beam, plan.audit_nearest + 1), n)
     while width < n:
         got = np.zeros(there.shape, bool)
         for q, found in near_nodes(graph, some, least, width):
             got[q, found] = True
-        if (there & got).sum() >= plan.recall * there.sum():
+        walked = graph.beam(some, graph.descend(some, 0), width, 0, n)[1]
+        met = (walked >= ranked[:, -1:] - ROUNDING).sum(axis=1) - own
+        hits = np.clip(met, 0, ranked.shape[1]).sum()
+        if (there & got).sum() >= plan.recall * there.sum() and hits >= plan.recall * ranked.size:
             break
-        # a beam that holds an eighth of the graph has seen about all of it: take all
-        width = 2 * width if 16 * width < n else n
+        # comparing all of a shard costs less than walks with wide beams
+        width = 2 * width if 128 * width < n else n
     return width
 
 

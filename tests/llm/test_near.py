@@ -157,6 +157,28 @@ def test_graph_walks_find_what_is_near():
     assert len(found & true) >= 0.999 * len(true)
 
 
+def test_isolated_links_across_shards_of_production_size():
+    """A shard of clusters and a few nodes apart; 1 % of another shard's queries lie at 0.932 to 0.95 from one of those."""
+    rng = np.random.default_rng(0)
+    n, dim = hnsw.Plan().shard_rows, 64
+    unit = lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    points = np.repeat(rng.normal(size=(n // 64, dim)), 64, axis=0) + rng.normal(size=(n, dim)) * 0.45
+    points[:400] = rng.normal(size=(400, dim))
+    points = unit(points)
+    apart = rng.choice(400, 20, replace=False)
+    queries = unit(points[rng.choice(np.arange(400, n), hnsw.Plan().query_rows)] + rng.normal(size=(hnsw.Plan().query_rows, dim)) / np.sqrt(dim))
+    at, near = rng.choice(len(queries), 20, replace=False), rng.uniform(0.932, 0.95, 20)[:, None]
+    side = rng.normal(size=(20, dim))
+    side -= (side * points[apart]).sum(axis=1, keepdims=True) * points[apart]
+    queries[at] = near * points[apart] + np.sqrt(1 - near * near) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    points = points[rng.permutation(n)]
+    graph = hnsw.build(points, hnsw.Plan())
+    width = hnsw.audited(graph, queries, hnsw.Plan(), 0.93 - 1e-5)
+    found = {(int(a), int(b)) for q, t in hnsw.near_nodes(graph, queries, 0.93 - 1e-5, width) for a, b in zip(q, t, strict=True)}
+    true = {(int(a), int(b)) for a, b in np.argwhere(queries @ points.T >= 0.93)}
+    assert len(true) == 20 and true <= found
+
+
 def test_op1_over_its_table(spark):
     emb = read("embeddings")
     rows = [(int(k), v.tolist(), int(x)) for k, v, x in zip(emb["vec_id"], emb["embedding"], emb["label"], strict=True)]
