@@ -3,8 +3,8 @@
 For a byte-level tokenizer, a text is cut before every single space that stands between two other characters than white
 space: its pattern always starts a new piece there, and no merge crosses pieces, so the ids of a text are the ids of its cuts in
 a row. Each worker keeps the ids of recent cuts and of their pieces. A new piece goes to the library's model; what the library
-would do around that for every occurrence is done once. Texts with white space in other places, and all texts of other
-kinds of tokenizers, are encoded by the library in one go.
+would do around that for every occurrence is done once. Texts with white space in other places or with the string of an added
+token, and all texts of other kinds of tokenizers, are encoded by the library in one go.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
+        self.added = [x["content"] for x in parts.get("added_tokens") or [] if x["content"]]
         split = parts["pre_tokenizer"] or {}
         self.byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not parts["normalizer"] and not parts["post_processor"]
         self.model = self.tokenizer.model
@@ -95,8 +95,11 @@ class Encoder:
         waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         unknown: set[str] = set()
         get = self.cuts[0].get
+        whole: list[int] = []
         for i, text in enumerate(texts):
-            if text:
+            if text and any(x in text for x in self.added):
+                whole.append(i)
+            elif text:
                 cuts = text.split(" ")
                 cuts[0] = f" {cuts[0]}"  # the first cut has no space before it; no other cut has a space in it
                 ids = list(map(get, cuts))
@@ -108,7 +111,7 @@ class Encoder:
                     out[i] = b"".join(ids)
         if unknown:
             self._learn(unknown)
-        get, whole = self.cuts[0].get, []
+        get = self.cuts[0].get
         for i, cuts, ids, gaps in waiting:
             for j in gaps:
                 ids[j] = get(cuts[j])

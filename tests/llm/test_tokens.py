@@ -21,6 +21,19 @@ def test_cuts_give_the_ids_of_whole_texts():
     assert Encoder(default_tokenizer(), kept=200).encode(texts) == plain._direct([t or "" for t in texts])
 
 
+def test_strings_of_added_tokens_are_their_ids(spark):
+    """As the library has it by default: also inside words, after spaces and more than once."""
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "one <|endoftext|> two <|endoftext|><|endoftext|>", "a <|endoftext| > b", "plain words", None]
+    plain = Tokenizer.from_file(default_tokenizer())
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(default_tokenizer()).encode(texts)] == want
+    pieces = packing.pack(documents(spark, list(enumerate(texts)))).collect()
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in pieces} == {i: (len(x) + 1, crc([*x, packing.END_ID])) for i, x in enumerate(want)}
+
+
 def test_files_round_trip(spark):
     rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(None, "no key"), (3, "again"), (3, "again")]
     df = documents(spark, rows).withColumnRenamed("lang", "ids").withColumnRenamed("source", "start")
