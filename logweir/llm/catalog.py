@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import hnsw, lm_score, lsh_forest, mixing, nbsvm, oracle, packing, rp_forest, sharding, token_files, url_filter
+from logweir.llm import fim, hnsw, lm_score, lsh_forest, mixing, nbsvm, oracle, packing, rp_forest, sharding, token_files, url_filter
 from logweir.llm.common import remove_path, shared_path, stored, table
 from logweir.plans.registry import Query
 
@@ -57,6 +57,13 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return nbsvm.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.transform(table(spark, folder, "documents"))
+    output = F.sha2("output", 256).alias("output_sha256")
+    restored = F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", output, restored)
+
+
 QUERIES = {
     "op1_embedding_dedup": Query(op1_embedding_dedup, oracle.VECTOR_GROUPS),
     "op2_url_filter": Query(op2_url_filter),
@@ -68,4 +75,5 @@ QUERIES = {
     "op8_nearest": Query(op8_nearest),
     "op9_ngram_join": Query(op9_ngram_join, oracle.TEXT_GROUPS),
     "op10_quality": Query(op10_quality),
+    "op13_fill_in_middle": Query(op13_fill_in_middle, oracle.FILL_IN_MIDDLE),
 }

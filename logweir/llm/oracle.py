@@ -28,3 +28,16 @@ nodes as (select doc_id x from documents),
 classes as (select doc_id, case when len(g) = 0 then doc_id else min(doc_id) over (partition by md5(array_to_string(list_sort(g), '|'))) end class_id from texts)
 select c.doc_id, c.class_id, r.group_id, coalesce(n.n_links, 0) n_links, c.doc_id = r.group_id kept from classes c
 join (select x, min(y) group_id from reach group by x) r on r.x = c.doc_id left join (select x, count(*) n_links from links group by x) n on n.x = c.doc_id"""
+
+_DRAW = "cast('0x' || substr(h, {at}, 8) as bigint)"
+
+FILL_IN_MIDDLE = f"""with texts as (select doc_id, coalesce(text, '') t, sha256('7:' || cast(doc_id as varchar)) h from documents),
+lined as (select *, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') u from texts),
+drawn as (select *, len(u) n, {_DRAW.format(at=1)} % (len(u) + 1) c1, {_DRAW.format(at=9)} % (len(u) + 1) c2,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or {_DRAW.format(at=17)} % 100 >= 100 then 'plain'
+    when {_DRAW.format(at=25)} % 100 < 50 then 'spm' else 'psm' end form from lined),
+parts as (select *, array_to_string(u[1:least(c1, c2)], '') p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') m,
+  array_to_string(u[greatest(c1, c2) + 1:], '') s from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+  sha256(t) restored_sha256 from parts"""
