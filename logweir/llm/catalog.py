@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import fim, hnsw, lm_score, lsh_forest, mixing, nbsvm, oracle, packing, rp_forest, sharding, token_files, url_filter
+from logweir.llm import fim, hnsw, lang_id, lm_score, lsh_forest, mixing, nbsvm, oracle, packing, rp_forest, sharding, token_files, url_filter
 from logweir.llm.common import remove_path, shared_path, stored, table
 from logweir.plans.registry import Query
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return nbsvm.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_language(spark: SparkSession, folder: str) -> DataFrame:
+    return lang_id.classify(table(spark, folder, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fim.transform(table(spark, folder, "documents"))
     output = F.sha2("output", 256).alias("output_sha256")
@@ -75,5 +79,6 @@ QUERIES = {
     "op8_nearest": Query(op8_nearest),
     "op9_ngram_join": Query(op9_ngram_join, oracle.TEXT_GROUPS),
     "op10_quality": Query(op10_quality),
+    "op11_language": Query(op11_language),
     "op13_fill_in_middle": Query(op13_fill_in_middle, oracle.FILL_IN_MIDDLE),
 }
