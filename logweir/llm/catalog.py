@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import fim, hnsw, lang_id, lm_score, lsh_forest, mixing, nbsvm, oracle, packing, rp_forest, sharding, token_files, url_filter
+from logweir.llm import collocations, fim, hnsw, lang_id, lm_score, lsh_forest, mixing, nbsvm, oracle, packing, rp_forest, sharding, token_files, url_filter
 from logweir.llm.common import remove_path, shared_path, stored, table
 from logweir.plans.registry import Query
 
@@ -61,6 +61,10 @@ def op11_language(spark: SparkSession, folder: str) -> DataFrame:
     return lang_id.classify(table(spark, folder, "documents"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fim.transform(table(spark, folder, "documents"))
     output = F.sha2("output", 256).alias("output_sha256")
@@ -80,5 +84,6 @@ QUERIES = {
     "op9_ngram_join": Query(op9_ngram_join, oracle.TEXT_GROUPS),
     "op10_quality": Query(op10_quality),
     "op11_language": Query(op11_language),
+    "op12_collocations": Query(op12_collocations, oracle.COLLOCATIONS),
     "op13_fill_in_middle": Query(op13_fill_in_middle, oracle.FILL_IN_MIDDLE),
 }

@@ -41,3 +41,21 @@ parts as (select *, array_to_string(u[1:least(c1, c2)], '') p, array_to_string(u
 select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
   sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
   sha256(t) restored_sha256 from parts"""
+
+COLLOCATIONS = r"""with texts as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+cut as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) p from texts),
+pieces as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') w from cut),
+spots as (select lang, w, unnest(range(1, len(w) + 1)) i from pieces),
+runs as (select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase from spots, (values (1), (2), (3)) t(k) where i + k - 1 <= len(w)),
+f as (select lang, k, phrase, count(*) a from runs group by all),
+totals as (select lang, sum(a)::bigint n from f where k = 1 group by 1),
+several as (select *, string_split(phrase, ' ') w from f where k > 1 and a >= 10),
+longer as (select lang, unnest([array_to_string(w[:-2], ' '), array_to_string(w[2:], ' ')]) phrase, a from several where k = 3),
+most as (select lang, phrase, max(a) most from longer group by 1, 2),
+free as (select s.* from several s left join most m on m.lang = s.lang and m.phrase = s.phrase where most is null or 100 * most < 50 * a),
+cuts as (select *, array_to_string(w[:c], ' ') x, array_to_string(w[c + 1:], ' ') y from free, (values (1), (2)) t(c) where c < k),
+scored as (select c.lang, c.phrase, c.c, c.a, x.a l, y.a r, cast((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a) as bigint) score from cuts c
+  join f x on x.lang = c.lang and x.phrase = c.x join f y on y.lang = c.lang and y.phrase = c.y),
+least as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from least)
+select r.lang, rank, phrase, a, l, r, n, score from ranked r join totals t on t.lang = r.lang where rank <= 2000"""
