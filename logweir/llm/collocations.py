@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from logweir.functions.ranks import first_rows
 from logweir.llm.common import Batches, batch, discard, pieces, runs, stored
 
-SLAB = 16 << 20  # bytes of text whose graph a task makes at a time
+SLAB = 8 << 20  # bytes of text whose graph a task makes at a time
 CELL = 1 << 20  # about so many edges of slabs go to a cell
 NO_LANG = "und"
 
@@ -84,13 +85,28 @@ def _words_of(lengths: np.ndarray, held: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(held.tobytes())])
 
 
-def _sums(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct code, ascending: the place of one row that has it, and the sum of ``n``, exact."""
-    if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(codes, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) != 0)))
-    return order[first], np.add.reduceat(n[order], first)
+def _sums(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct code, by first appearance: its first row, and the exact sum of ``n`` (its rows, without ``n``)."""
+    number, known = pd.factorize(codes)
+    first = np.empty(len(known), np.int64)
+    first[number[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the last one written is the first row
+    if n is None:
+        return first, np.bincount(number, minlength=len(known))
+    sums = np.zeros(len(known), np.int64)
+    np.add.at(sums, number, n)
+    return first, sums
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A number of 64 bits for each word: its bytes times powers of an odd number."""
+    lengths, held = _bytes_of(words)
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    begins = np.cumsum(lengths, dtype=np.int64) - lengths
+    powers = np.multiply.accumulate(np.full(int(lengths.max()), _STEP))
+    codes = (held.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(held)) - np.repeat(begins, lengths)]
+    codes = np.add.reduceat(codes, begins) * _MIX
+    return codes ^ (codes >> np.uint64(32))
 
 
 @dataclass
@@ -120,7 +136,7 @@ class Counts:
         size = max(1, len(self.words))
         for column in self.rows.T[1:]:
             if most * size >= 1 << 62:
-                known, code = np.unique(code, return_inverse=True)
+                code, known = pd.factorize(code)
                 most = max(1, len(known))
             code, most = code * size + column, most * size
         return code
@@ -138,7 +154,7 @@ class Counts:
         """The rows by cell, each with only its own words."""
         if not len(self.n):
             return
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words.to_pylist()), np.uint64, len(self.words))
+        own = _hashes(self.words)
         code = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)[self.rows[:, 0]]
         for column in self.rows.T[1:]:
             code = (code ^ (code >> np.uint64(31))) * _STEP + own[column]
@@ -212,24 +228,27 @@ def graph(parts: list[tuple[str, bytes, int]], longest: int) -> Graph:
     """The compacted graph of texts, each with its language and the number of words at its end that are there for what stands before them only."""
     langs = sorted({x for x, _, _ in parts})
     number = {x: i for i, x in enumerate(langs)}
-    data = np.frombuffer(b"\n".join([t for _, t, _ in parts] + [b""]), np.uint8)
+    data = np.frombuffer(b"\n".join([b"", *(t for _, t, _ in parts), b""]), np.uint8)
     kind = _KIND[data]
     inside = kind == 0
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))  # the last byte is a break, so starts and ends alternate
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the first byte and the last are breaks, so starts and ends alternate
+    breaks = np.flatnonzero(kind == 2)
+    held = _LOWER[data[inside]]
+    del data, kind, inside
     start, end = edge[0::2], edge[1::2]
     total = len(start)
-    words = _words_of((end - start).astype(np.int32), _LOWER[data[inside]]).dictionary_encode()
+    words = _words_of((end - start).astype(np.int32), held).dictionary_encode()
+    del held, end
     word = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     words = words.dictionary
     at = np.arange(total)
-    piece = np.searchsorted(np.flatnonzero(kind == 2), start)
-    closes = np.append(np.flatnonzero(np.diff(piece)) + 1, total) if total else np.zeros(0, np.int64)
+    closes = np.unique(np.searchsorted(start, breaks))  # the places after each piece's last word
+    closes = closes[closes > 0]
     left = np.repeat(closes, np.diff(closes, prepend=0)) - at  # words from here to the end of the piece
-    text_ends = np.cumsum([len(t) + 1 for _, t, _ in parts], dtype=np.int64)
-    text = np.searchsorted(text_ends, start, side="right")
-    lang = np.array([number[x] for x, _, _ in parts], np.int32)[text]
-    until = np.searchsorted(start, text_ends) - np.array([c for _, _, c in parts], np.int64)
-    counted = at < until[text]
+    until = np.searchsorted(start, np.cumsum([len(t) + 1 for _, t, _ in parts], dtype=np.int64))  # the place after each text's last word
+    each = np.diff(until, prepend=0)
+    lang = np.repeat(np.array([number[x] for x, _, _ in parts], np.int32), each)
+    counted = at < np.repeat(until - np.array([c for _, _, c in parts], np.int64), each)
 
     def rows(first: np.ndarray, length: int) -> np.ndarray:
         return np.column_stack([lang[first], *(word[first + i] for i in range(length))]).astype(np.int32)
@@ -239,17 +258,15 @@ def graph(parts: list[tuple[str, bytes, int]], longest: int) -> Graph:
         if length > 1:
             size = int(run.max(initial=0)) + 1
             run = np.where(left >= length, run * size + np.append(run[1:], 0), -1)
-        known, run = np.unique(run, return_inverse=True)  # rows that are too short have a number too; it isn't asked for
+        run = pd.factorize(run)[0]  # rows that are too short have a number too; it isn't asked for
         last = np.flatnonzero(counted & (left == length))
-        first, n = _sums(run[last], np.ones(len(last), np.int64))
+        first, n = _sums(run[last])
         ends.append(Counts(langs, words, rows(last[first], length), n))
     begins = np.flatnonzero(counted & (left >= longest))
     nodes = int(run.max(initial=0)) + 1
     # single words are loops at the node of no words: their own number will do, and no path joins them
     source, target = (run[begins], run[begins + 1]) if longest > 1 else (run[begins], run[begins])
-    first, n = _sums(source * nodes + target, np.ones(len(begins), np.int64))
-    order = np.argsort(first, kind="stable")  # edges by their first occurrence
-    first, n = first[order], n[order]
+    first, n = _sums(source * nodes + target)
     out, into = np.bincount(source[first], minlength=nodes), np.bincount(target[first], minlength=nodes)
     unary = (out == 1) & (into == 1) & (longest > 1)
     place = begins[first]
@@ -335,12 +352,14 @@ def _answered(asked: DataFrame, least: int, bits: int) -> DataFrame:
             parts = [Counts.unpacked(x) for b in run for x in b["counts"].to_pylist()]
             own = merged(parts)
             often = np.flatnonzero(own.n >= least)
-            held = own.words.cast(pa.string()).to_numpy(zero_copy_only=False)
+            used, place = np.unique(own.rows[often, 1:], return_inverse=True)
+            held = own.words.take(pa.array(used)).cast(pa.string()).to_numpy(zero_copy_only=False)
+            place = place.reshape(len(often), own.length)
             langs = np.array(own.langs, dtype=object)
             for at in range(0, len(often), 1 << 16):
-                rows = own.rows[often[at : at + (1 << 16)]]
-                phrases = reduce(lambda x, y: x + " " + y, [held[c] for c in rows.T[1:]])
-                yield batch(_FOUND, [None] * len(rows), [None] * len(rows), langs[rows[:, 0]], phrases, own.n[often[at : at + (1 << 16)]])
+                rows = often[at : at + (1 << 16)]
+                phrases = reduce(lambda x, y: x + " " + y, [held[c] for c in place[at : at + (1 << 16)].T])
+                yield batch(_FOUND, [None] * len(rows), [None] * len(rows), langs[own.rows[rows, 0]], phrases, own.n[rows])
             if own.length == 1:
                 sums = np.zeros(len(langs), np.int64)
                 np.add.at(sums, own.rows[:, 0], own.n)
