@@ -23,13 +23,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from logweir.functions.ranks import first_rows
 from logweir.llm.common import Batches, batch, discard, pieces, runs, stored
 
-SLAB = 8 << 20  # bytes of text whose graph a task makes at a time
+SLAB = 16 << 20  # bytes of text whose graph a task makes at a time
 CELL = 1 << 20  # about so many edges of slabs go to a cell
 NO_LANG = "und"
 
@@ -123,12 +124,18 @@ class Counts:
         return self.rows.shape[1] - 1
 
     def packed(self) -> bytes:
-        return _packed({"langs": self.langs, "width": self.rows.shape[1]}, *_bytes_of(self.words), self.rows.T.ravel().astype(np.int32), self.n.astype(np.int64))
+        """In the order of the runs, so that neighbours are alike and the first words are steps of 0 or little more."""
+        order = np.argsort(self.codes())
+        rows = self.rows[order].T.astype(np.int32)
+        rows[1] = np.diff(rows[1], prepend=0)
+        return _packed({"langs": self.langs, "width": len(rows)}, *_bytes_of(self.words), rows.ravel(), self.n[order].astype(np.int64))
 
     @classmethod
     def unpacked(cls, data: bytes) -> Counts:
         head, (lengths, held, rows, n) = _unpacked(data)
-        return cls(head["langs"], _words_of(lengths, held), rows.reshape(head["width"], -1).T, n)
+        rows = rows.reshape(head["width"], -1)
+        rows[1] = np.cumsum(rows[1])
+        return cls(head["langs"], _words_of(lengths, held), rows.T, n)
 
     def codes(self) -> np.ndarray:
         """A number for each row, alike for like rows."""
@@ -239,8 +246,11 @@ def graph(parts: list[tuple[str, bytes, int]], longest: int) -> Graph:
     total = len(start)
     words = _words_of((end - start).astype(np.int32), held).dictionary_encode()
     del held, end
-    word = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    words = words.dictionary
+    order = pc.sort_indices(words.dictionary).to_numpy()  # like words side by side take less room
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    word = rank[words.indices.to_numpy(zero_copy_only=False)]
+    words = words.dictionary.take(pa.array(order))
     at = np.arange(total)
     closes = np.unique(np.searchsorted(start, breaks))  # the places after each piece's last word
     closes = closes[closes > 0]
