@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.operators.conditions import filter_where
+from logweir.operators.paging import page_of
 
 
 def _moment(logs: DataFrame, value) -> Column:
@@ -14,6 +15,9 @@ def _moment(logs: DataFrame, value) -> Column:
     return F.lit(value).cast(logs.schema["timestamp"].dataType)
 
 
+NEWEST = ["timestamp", "id"]  # pages are newest first
+
+
 def select_logs(logs: DataFrame, *, service=None, component=None, level=None, start=None, end=None) -> DataFrame:
     for name, value in (("service", service), ("component", component), ("level", level)):
         if value:
@@ -25,17 +29,9 @@ def select_logs(logs: DataFrame, *, service=None, component=None, level=None, st
     return logs
 
 
-def page_of(found: DataFrame, limit: int | None, offset: int) -> DataFrame:
-    """A page of rows, newest first, each with ``total``, the number of all rows. A page without rows is one row of nulls with the total."""
-    newest = found.orderBy(F.desc("timestamp"), F.desc("id")).offset(offset)
-    page = (newest if limit is None else newest.limit(limit)).withColumn("_row", F.lit(True))
-    total = found.agg(F.count(F.lit(1)).alias("total"))  # one row
-    return total.join(page, F.lit(True), "left").select(*found.columns, "total")
-
-
 def query_logs(logs: DataFrame, *, limit: int | None = 100, offset: int = 0, **where) -> DataFrame:
     """A page of matching rows, newest first, with the total number of matches (``limit`` None: all rows)."""
-    return page_of(select_logs(logs, **where), limit, offset)
+    return page_of(select_logs(logs, **where), NEWEST, limit, offset)
 
 
 def holds(text: str, columns: Sequence[str]) -> Column:
@@ -47,7 +43,7 @@ def search(logs: DataFrame, text: str, *, columns: Sequence[str] = ("message",),
     """A page of the rows that hold the text in some of ``columns``, whatever its case; newest first, with the total."""
     if not text:
         raise ValueError("search needs a text")
-    return page_of(select_logs(logs, **where).filter(holds(text, columns)), limit, offset)
+    return page_of(select_logs(logs, **where).filter(holds(text, columns)), NEWEST, limit, offset)
 
 
 def query_filters(
@@ -58,7 +54,7 @@ def query_filters(
         logs = filter_where(logs, {"field": name, "operator": "in" if isinstance(value, list) else "eq", "value": value}, fields=fields)
     if text:
         logs = logs.filter(holds(text, columns))
-    return page_of(logs, limit, offset)
+    return page_of(logs, NEWEST, limit, offset)
 
 
 def aggregate_by(logs: DataFrame, field: str, *, interval: str | None = None, filters: dict | None = None, fields: str | None = "fields") -> DataFrame:

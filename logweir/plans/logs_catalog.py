@@ -52,6 +52,18 @@ def query_logs_past_the_end(spark, folder):
     return Q.query_logs(_logs(spark, folder), service="api-gateway", offset=1_000_000_000).select("id", "total")
 
 
+@query(
+    "query_logs_middle",
+    O.logs(f"""select id, {_TS}, (select count(*) from logs where level <> 'DEBUG') total from logs where level <> 'DEBUG' order by "timestamp" desc, id desc
+        limit (select count(*) // 4 from logs) offset (select count(*) // 2 from logs)"""),
+)
+def query_logs_middle(spark, folder):
+    """A page far inside the table, long as it is: the quarter after the newer half."""
+    logs = _logs(spark, folder)
+    rows = logs.count()
+    return Q.query_filters(logs, {"level": ["ERROR", "WARN", "INFO"]}, limit=rows // 4, offset=rows // 2).select("id", time_text("timestamp").alias("ts"), "total")
+
+
 @query("search", O.logs(f"select id, {_TS}, message, count(*) over () total from logs where contains(lower(message), 'timeout after 1')"))
 def search(spark, folder):
     return Q.search(_logs(spark, folder), "TimeOut after 1").select("id", time_text("timestamp").alias("ts"), "message", "total")
