@@ -2,7 +2,7 @@
 
 One model is counted over the target documents, one over all documents. They are matched: one vocabulary, one order, one
 smoothing. A word's probability after the word before it is (pair + weight * alone) / (word before + weight), where ``alone`` is its
-add-one share of all words. A document's score is its loss per word under the target model less that under the
+add-one share of all words, one unseen word included. A document's score is its loss per word under the target model less that under the
 background model; the lower, the more it reads like the target.
 
 Every word, word before and pair has a count of its own, however many there are; each goes by a code of 64 bits. Documents are cut into
@@ -29,7 +29,6 @@ from logweir.llm.common import Batches, batch, discard, pieces, remove_path, run
 KEPT_WORDS = 400_000
 BLOCK_WORDS, BLOCK_ROWS = 1 << 20, 1 << 16
 CELLS, CELL_WORDS = 1 << 10, 1 << 23
-VOCABULARY = 1 << 18  # the models know so many words at least
 START = 0x5DEECE66D  # the code before the first word
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _KINDS = np.uint64(3)  # the two lowest bits of a code: 0 a word, 1 a word before, 2 a pair
@@ -45,31 +44,6 @@ def _word_codes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_CODES.__getitem__, found), np.uint64, len(found))
 
 
-@dataclass(frozen=True)
-class Tables:
-    """Slots: words, then words as the one before, then pairs. Only the older tests count by slots; ``score`` does not."""
-
-    word_bits: int = 18
-    pair_bits: int = 20
-
-    @property
-    def words(self) -> int:
-        return 1 << self.word_bits
-
-    @property
-    def size(self) -> int:
-        return 2 * self.words + (1 << self.pair_bits)
-
-    def slots(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word of the text: its slot, the slot of the word before it, and the slot of both."""
-        codes = _word_codes(text)
-        before = np.concatenate((np.array([START], np.uint64), codes[:-1])) if len(codes) else codes
-        shift = np.uint64(64 - self.word_bits)
-        pair = ((before * _PAIR + codes) ^ (codes >> np.uint64(31))) * _MIX
-        pair = (pair >> np.uint64(64 - self.pair_bits)).astype(np.int64)
-        return (codes >> shift).astype(np.int64), (before * _MIX >> shift).astype(np.int64) + self.words, pair + 2 * self.words
-
-
 def _squeeze(values: np.ndarray) -> bytes:
     """Like bytes of all numbers side by side, compressed."""
     import zstandard
@@ -275,7 +249,7 @@ def score(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "te
     answers = stored(_answers(asked), "lm-answers")
     distinct, *totals = (x or 0 for x in answers.agg(F.sum("vocabulary"), F.sum("words"), F.sum("own_words")).first())
     given = answers.select("cell", "part", "counts").repartition(max(1, n_blocks), "cell").sortWithinPartitions("cell", "part")
-    scored = stored(_losses(given, path, (totals[0], totals[1]), max(VOCABULARY, distinct), weight), "lm-scores")
+    scored = stored(_losses(given, path, (totals[0], totals[1]), distinct + 1, weight), "lm-scores")
     discard(docs, answers)
     remove_path(spark, path)
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("key", key)

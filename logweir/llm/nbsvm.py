@@ -151,7 +151,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     """Fit on at most ``sample_rows`` labelled documents that are not held out, the first by a hash of the key.
 
     The bound is what the driver holds: one list of feature numbers for each. Documents with two different labels, null
-    labels or null keys teach nothing.
+    labels or null keys teach nothing; of several rows with one key the text with the smallest hash teaches.
     """
     schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("found", pa.binary())])
 
@@ -163,8 +163,9 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     known = known.filter(~held_out(F.col("key"))).groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     picked = known.orderBy(F.xxhash64("key"), "key").limit(sample_rows)
-    found = texts.join(F.broadcast(picked), "key").mapInArrow(extract, "key long, label int, found binary").toArrow().to_pandas()
-    found = found.sort_values(["key", "label"], kind="stable").drop_duplicates("key").reset_index(drop=True)
+    # a key may be on any number of rows: the text with the smallest hash counts, whatever the layout of the files
+    one = texts.join(F.broadcast(picked), "key").groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = one.mapInArrow(extract, "key long, label int, found binary").toArrow().to_pandas().sort_values("key").reset_index(drop=True)
     return fit_rows([np.frombuffer(x, "<i4") for x in found["found"]], found["label"].to_numpy() == 1, **options)
 
 
