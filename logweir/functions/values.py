@@ -68,6 +68,8 @@ def literal_text(value) -> str:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, float):
+        if not math.isfinite(value):
+            return "NaN" if math.isnan(value) else f"{'-' if value < 0 else '+'}Inf"
         if value == math.floor(value) and abs(value) < 1e6:
             return str(int(value))
         mantissa, _, exponent = f"{value!r}".partition("e")

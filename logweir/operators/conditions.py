@@ -9,6 +9,7 @@ reach the scan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.functions.fields import Entry
 from logweir.functions.regex import InvalidPattern, java_pattern
-from logweir.functions.values import Value
+from logweir.functions.values import Value, literal_number
 from logweir.operators.model import Condition
 
 # A custom operator takes the field and the rule's value and returns a boolean Column.
@@ -98,7 +99,11 @@ def _leaf(cond: Condition, entry: Entry, operators: dict[str, Operator] | None)
     try:
         if operator is None:
             raise Faulty(f"unknown operator: {cond.operator}")
-        return Match(F.coalesce(operator(value, cond.value), F.lit(False)) if name != "not_in" else value.present & operator(value, cond.value))
+        result = operator(value, cond.value)
+        # these compare without looking at the value, so they don't tell a missing field by themselves
+        if name == "not_in" or name in BUILT_IN and any(x is None or math.isnan(literal_number(x) or 0.0) for x in (cond.value if isinstance(cond.value, (list, tuple)) else [cond.value])):
+            result = value.present & result
+        return Match(F.coalesce(result, F.lit(False)) if name != "not_in" else result)
     except Faulty:
         return Match(F.when(value.present, F.lit(None).cast("boolean")).otherwise(F.lit(False)), faulty=True)
 

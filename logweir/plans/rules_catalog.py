@@ -8,7 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import Window, functions as F
 
-from logweir.operators import query as Q, rules as R, versions as V
+from logweir.operators import query as Q, rule_index as X, rules as R, versions as V
 from logweir.operators.actions import Effect
 from logweir.operators.conditions import filter_where
 from logweir.operators.model import Rule
@@ -437,6 +437,32 @@ def rule_rollback(spark, folder):
     return V.current(versions.unionByName(again)).select("rule_id", "version", "content")
 
 
+@query(
+    "rules_indexed",
+    O.logs(
+        """select id, message from logs l where (level = 'ERROR' and exists (select 1 from nation n where contains(l.message, concat(' from 10.0.', cast(10 * n_nationkey as varchar), '.'))))
+        or not exists (select 1 from customer c where l.user_id = concat('u_', cast(c_custkey as varchar)) and l.k > 3 * c_nationkey)"""
+    ),
+)
+def rules_indexed(spark, folder):
+    """A rule for each customer, which drops rows of one user, and one for each nation, which keeps some errors whoever's they are."""
+
+    def body(action: str, *leaves):
+        fields = [F.struct(F.lit(f).alias("field"), F.lit(o).alias("operator"), v.alias("value")) for f, o, v in leaves]
+        texts = F.concat(F.lit('{"all":['), F.concat_ws(",", *[F.to_json(x) for x in fields]), F.lit("]}"))
+        head = F.concat(F.lit('{"name":"r","enabled":true,"id":"'), F.col("id"), F.lit(f'","actions":[{{"type":"{action}"}}],"condition":'))
+        return F.concat(head, texts, F.lit("}")).alias("body")
+
+    customers = views.table(spark, folder, "customer").withColumn("id", F.concat(F.lit("drop-"), "c_custkey"))
+    drops = customers.select("id", F.lit("").alias("scope"), body("drop", ("user_id", "eq", F.concat(F.lit("u_"), "c_custkey")), ("k", "gt", 3 * F.col("c_nationkey"))))
+    nations = views.table(spark, folder, "nation").withColumn("id", F.concat(F.lit("a-keep-"), "n_nationkey"))
+    part = F.concat(F.lit(" from 10.0."), (10 * F.col("n_nationkey")).cast("string"), F.lit("."))
+    keeps = nations.select("id", F.lit("").alias("scope"), body("keep", ("message", "contains", part), ("level", "eq", F.lit("ERROR"))))
+    logs = views.logs(spark, folder)
+    index = X.build(spark, stores.load_rules(drops.unionByName(keeps)), logs)
+    return X.apply_index(logs, index).select("id", "message")
+
+
 @query(
     "rules_to_tree",
     """select concat('o', cast(l_orderkey as varchar)) rule_id, count(*) conditions,
