@@ -197,9 +197,9 @@ def matcher(pattern: Column) -> Column:
     return F.concat(F.lit(f"^(?:{gap})?"), F.array_join(token, gap), ends)
 
 
-def as_rules(recommended: DataFrame) -> list[Rule]:
-    """All recommendations as rules for ``apply_rules``, most urgent first. A rule set is part of a plan, so the driver holds it."""
-    ordered = recommended.orderBy("priority", F.desc("frequency"), "pattern_id")
+def as_rules(recommended: DataFrame, limit: int = 1000) -> list[Rule]:
+    """The ``limit`` most urgent recommendations as rules for ``apply_rules``. A rule set is part of a plan, so the driver holds it; ``mark_rows`` has no limit."""
+    ordered = recommended.orderBy("priority", F.desc("frequency"), "pattern_id").limit(limit)
     return [
         Rule(
             id=r.pattern_id, name=r.name, condition=Condition(r.field, r.operator, r.value),
@@ -209,6 +209,13 @@ def as_rules(recommended: DataFrame) -> list[Rule]:
     ]
 
 
+def mark_rows(df: DataFrame, recommended: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id"), tag: str = "tag") -> DataFrame:
+    """All rows, those of a recommended pattern with its id in ``tag``. Any number of recommendations: they are joined, not compiled."""
+    own = groups(df, message=message, order=order).select("_key", pattern_id(F.col("pattern")).alias("pattern_id"))
+    named = own.join(recommended.select("pattern_id"), "pattern_id", "left_semi").withColumnRenamed("pattern_id", tag)
+    return salted_join(with_key(df, message), named, "_key", "left", list(order)).drop("_key")
+
+
 # ---- templates that outlive a run ----
 
 

@@ -299,11 +299,11 @@ def recommend_rules(spark, folder):
     ),
 )
 def closed_loop(spark, folder):
-    """Whole messages are mined, every recommendation becomes a rule, and the rules mark exactly the rows of their patterns."""
+    """Whole messages are mined, every recommendation marks exactly the rows of its pattern, and a rule drops what is left of the noise."""
     logs = views.logs(spark, folder)
-    rules = M.as_rules(M.recommend_rules(M.mine_patterns(logs)))
+    marked = M.mark_rows(logs, M.recommend_rules(M.mine_patterns(logs)))
     drop = rule("zz", leaf("level", "eq", "DEBUG"), ("drop", {}))
-    return apply_rules(logs, [*rules, drop]).select("id", F.coalesce(json_field("_tags"), F.lit("new")).alias("tag"))
+    return apply_rules(marked, [drop]).select("id", F.coalesce("tag", F.lit("new")).alias("tag"))
 
 
 _TEMPLATE_TABLE = f"""early as (select grp, count(*) n, arg_min(message, ("timestamp", id)) m from keyed where "timestamp" < timestamp '2024-01-15' group by grp),
@@ -622,14 +622,13 @@ def sink_upsert_latest(spark, folder):
     "sink_upsert",
     O.logs(
         """select concat(service, '-', cast(epoch_us(date_trunc('hour', "timestamp")) * 1000 as varchar)) id, coalesce(arg_max(message, id) filter (id % 3 <> 0), arg_max(message, id)) message,
-        coalesce(max(id) filter (id % 3 <> 0), max(id)) seq from logs where "timestamp" >= timestamp '2024-01-10' and "timestamp" < timestamp '2024-01-20' group by 1"""
+        coalesce(max(id) filter (id % 3 <> 0), max(id)) seq from logs group by 1"""
     ),
 )
 def sink_upsert(spark, folder):
     """Two batches with ids in common: the second stands, and a repeated batch changes nothing."""
     path = scratch(spark, "upsert")
-    logs = _logs(spark, folder).filter("timestamp >= '2024-01-10' and timestamp < '2024-01-20'")
-    docs = logs.select(sinks.document_id(F.col("service"), F.date_trunc("hour", "timestamp")).alias("id"), F.date_trunc("hour", "timestamp").alias("timestamp"), "message", F.col("id").alias("seq"))
+    docs = _logs(spark, folder).select(sinks.document_id(F.col("service"), F.date_trunc("hour", "timestamp")).alias("id"), F.date_trunc("hour", "timestamp").alias("timestamp"), "message", F.col("id").alias("seq"))
     for number, part in ((0, "seq % 3 = 0"), (1, "seq % 3 <> 0"), (0, "seq % 3 = 0")):
         sinks.upsert(docs.filter(part), path, F.col("seq"), number)
     return sinks.current(spark, path).select("id", "message", "seq")

@@ -97,11 +97,15 @@ def write_topic(logs: DataFrame, brokers: str, topic: str) -> None:
     topic_rows(logs).write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic).save()
 
 
-def write_console(docs: DataFrame, index: str) -> None:
-    """Print every document, a partition's worth at a time."""
+def write_console(docs: DataFrame, index: str, emit: Callable[[str], object] = print) -> None:
+    """Print every document from the task that holds it: in a local session to this console's error output, on a cluster to the executors'."""
     lines = docs.select(F.concat(F.lit(f"[{index}] "), F.to_json(F.struct(*docs.columns))).alias("document"))
-    for row in lines.toLocalIterator():
-        print(row.document)
+
+    def show(rows) -> None:
+        for row in rows:
+            emit(row.document)
+
+    lines.foreachPartition(show)
 
 
 def write_all(docs: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> Exception | None:
