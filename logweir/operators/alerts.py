@@ -1,11 +1,15 @@
-"""Alert rules over logs: a rule fires in every window that holds at least ``threshold`` matching rows."""
+"""Alert rules over logs: a rule fires where a window holds at least ``threshold`` matching rows.
+
+``evaluate`` looks at windows side by side, ``evaluate_sliding`` at the window that ends at each second, so that it also sees
+a burst that lies across the edge of two windows.
+"""
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweir.functions.fields import Entry
 from logweir.operators.conditions import compile_condition
@@ -81,7 +85,7 @@ def fired(counts: DataFrame, rules: list[AlertRule]) -> DataFrame:
         F.sha2(F.concat_ws(":", "rule_id", F.col("start").cast("string")), 256).alias("id"),
         "rule_id",
         "service",
-        F.concat(F.lit("触发告警: "), name).alias("message"),
+        F.concat(F.lit(MESSAGE), name).alias("message"),
         F.lit("ERROR").alias("level"),
         F.timestamp_seconds(F.col("start") + F.col("window")).alias("trigger_time"),
         F.lit("pending").alias("status"),
@@ -95,6 +99,62 @@ def evaluate(logs: DataFrame, rules: list[AlertRule], *, fields: str | None = "f
     return fired(counts, rules)
 
 
+# Fixed value: the head of an alert's text.
+MESSAGE = "触发告警: "
+
+BLOCK = 3600  # seconds; a block of time is at least as long as its rule's window
+KEY = ["rule_id", "service", "window"]
+
+
+def second_counts(logs: DataFrame, rules: list[AlertRule], *, fields: str | None = "fields", time: str = "timestamp") -> DataFrame:
+    """Matching rows by rule and second: rule_id, service, window, second, n. One row per second, however many rows it has."""
+    hits = matches(logs, rules, fields=fields, time=time).select(*KEY, F.unix_seconds(F.col(time).cast("timestamp")).alias("second"))
+    return hits.groupBy(*KEY, "second").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sliding(counts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``second_counts`` with ``count``, the rows of the ``window`` seconds up to and with this one, and ``before``, those up to the one before.
+
+    A second's rows enter at the second and leave ``window`` seconds later. Time is cut into blocks; what has entered but not left when a block ends is
+    carried into the next one, which it leaves, so each block adds up by itself: a task holds the seconds of one rule's block
+    and of one window before it.
+    """
+    length = F.greatest(F.col("window"), F.lit(block).cast("bigint"))
+    own = F.floor(F.col("second") / length).cast("bigint")
+    leaves = F.col("second") + F.col("window")
+    then = F.floor(leaves / length).cast("bigint")
+
+    def event(at: Column, place: Column, enters: Column, change: Column, carried: Column) -> Column:
+        values = {"block": place, "second": at, "enters": enters, "change": change, "carried": carried}
+        return F.struct(*[v.cast("bigint").alias(k) for k, v in values.items()])
+
+    n, none = F.col("n"), F.lit(0)
+    gone = event(leaves, then, none, -n, none)
+    carried = F.when(then > own, event(then * length, then, none, none, n))
+    events = counts.select(*KEY, F.explode(F.array_compact(F.array(event(F.col("second"), own, n, n, none), gone, carried))).alias("e")).select(*KEY, "e.*")
+    by_second = events.groupBy(*KEY, "block", "second").agg(*[F.sum(c).alias(c) for c in ("enters", "change", "carried")])
+    place = Window.partitionBy(*KEY, "block").orderBy("second")
+    so_far = F.sum("change").over(place) + F.sum("carried").over(Window.partitionBy(*KEY, "block"))
+    out = by_second.withColumn("count", so_far)
+    # what left at this very second had entered a whole window ago: it still counts up to the second before
+    return out.withColumn("before", F.col("count") - F.col("change")).filter("enters > 0").select(*KEY, "second", F.col("enters").alias("n"), "count", "before")
+
+
+def crossings(counts: DataFrame, rules: list[AlertRule], block: int = BLOCK) -> DataFrame:
+    """The seconds at which a rule starts to fire: the window that ends there reaches the threshold, the one a second earlier didn't."""
+    _, bound = _facts(rules)
+    started = sliding(counts, block).filter((F.col("count") >= bound) & (F.col("before") < bound))
+    return fired(started.withColumn("start", F.col("second") - F.col("window")), rules).withColumn("id", F.sha2(F.concat_ws(":", "rule_id", F.unix_seconds("trigger_time").cast("string")), 256))
+
+
+def evaluate_sliding(logs: DataFrame, rules: list[AlertRule], *, fields: str | None = "fields", time: str = "timestamp", block: int = BLOCK) -> DataFrame:
+    """Alert records of every moment at which a rule starts to fire: ``trigger_time`` is the second, ``count`` the rows of the window that ends with it.
+
+    A rule goes on firing while each second's window reaches the threshold, and fires anew after one that doesn't.
+    """
+    return crossings(second_counts(logs, rules, fields=fields, time=time), rules, block)
+
+
 def history(alerts: DataFrame, changes: DataFrame | None = None, *, service: str | None = None) -> DataFrame:
     """Alerts with their current status, latest first. ``changes`` is an append-only (alert_id, status, changed_at)."""
     if service:

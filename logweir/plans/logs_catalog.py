@@ -414,6 +414,28 @@ def alerts_volume(spark, folder):
     return A.evaluate(_logs(spark, folder), [A.volume_rule("volume", threshold=10, window=21600)]).select("id", "count")
 
 
+_SECONDS = """seconds as (select rule_id, service, win, sec, count(*) n from (
+  select 'gateway-errors' rule_id, 'api-gateway' service, cast(3600 as bigint) win, cast(floor(epoch("timestamp")) as bigint) sec from logs where service = 'api-gateway' and level = 'ERROR'
+  union all select 'slow', '', cast(7200 as bigint), cast(floor(epoch("timestamp")) as bigint) from logs where duration_ms > 1500 and level <> 'DEBUG') group by all),
+slid as (select *, sum(n) over (partition by rule_id order by sec range between 3599 preceding and current row) c1, sum(n) over (partition by rule_id order by sec range between 3600 preceding and 1 preceding) b1,
+  sum(n) over (partition by rule_id order by sec range between 7199 preceding and current row) c2, sum(n) over (partition by rule_id order by sec range between 7200 preceding and 1 preceding) b2 from seconds),
+started as (select rule_id, service, win, sec, cast(case rule_id when 'slow' then c2 else c1 end as bigint) n, coalesce(case rule_id when 'slow' then b2 else b1 end, 0) b, case rule_id when 'slow' then 3 else 2 end t from slid)"""
+_STARTED = """select sha256(concat(rule_id, ':', cast(sec as varchar))) id, rule_id, service, sec trigger_time, n "count", win "window" from started where n >= t and b < t"""
+
+
+@query("alerts_sliding", O.logs(_STARTED, _SECONDS))
+def alerts_sliding(spark, folder):
+    return _alert_columns(A.evaluate_sliding(_logs(spark, folder), ALERTS))
+
+
+@query("alerts_sliding_stream", O.logs(_STARTED, _SECONDS))
+def alerts_sliding_stream(spark, folder):
+    path = scratch(spark, "sliding")
+    logs = views.logs_from_events(readers.stream_table(spark, folder, "events"))
+    stream_alerts.start_sliding(logs, ALERTS, f"{path}/out", f"{path}/state", f"{path}/checkpoint", trigger={"availableNow": True}).awaitTermination()
+    return _alert_columns(stream_alerts.read_sliding(spark, f"{path}/out"))
+
+
 # ---- figures ----
 
 

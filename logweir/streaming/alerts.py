@@ -1,11 +1,11 @@
-"""Alert rules on a stream: event-time windows with a watermark."""
+"""Alert rules on a stream: event-time windows with a watermark, and sliding windows over a table of recent seconds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from logweir.operators.alerts import AlertRule, fired, matches
+from logweir.operators.alerts import KEY, AlertRule, crossings, fired, matches, second_counts
 from logweir.schemas import ALERT
 
 
@@ -52,3 +52,51 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.schema(StructType([*ALERT, StructField("part", IntegerType()), StructField("batch", LongType())])).parquet(out)
     rest = [f for f in rows.columns if f not in ("id", "part", "batch")]
     return rows.groupBy("id").agg(F.max_by(F.struct(*rest), "batch").alias("_a")).select("id", "_a.*")
+
+
+# ---- sliding windows ----
+
+_STATE = "rule_id string, service string, window bigint, second bigint, n bigint"
+
+
+def start_sliding(
+    logs: DataFrame, rules: list[AlertRule], out: str, state: str, checkpoint: str, *, lateness: int = 60, trigger: dict | None = None, fields: str | None = "fields", time: str = "timestamp"
+):
+    """Write the moments at which rules start to fire below ``out``, a folder per batch; ``read_sliding`` gives them.
+
+    The state is a table of counts by rule and second, a version per batch, with the seconds that a window can still reach: it is aggregated
+    before it is shuffled, so a rule that a third of all rows match is one row a second and no task's burden. The clock is the latest second seen less
+    ``lateness`` seconds. Rows from before it are left out. What happened before the clock is final; later moments are written anew by each batch.
+    A repeated batch starts from the same version and overwrites its own.
+    """
+    reach = max((r.window for r in rules if r.enabled), default=0)
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        before = spark.read.schema(_STATE).parquet(f"{state}/v={number - 1}") if number else spark.createDataFrame([], _STATE)
+        # the row without a rule holds the latest second seen
+        clock = before.filter("rule_id is null").agg(F.max("second")).first()[0]
+        second = F.unix_seconds(F.col(time).cast("timestamp"))
+        timely = df if clock is None else df.filter(second > clock - lateness)
+        counts = before.filter("rule_id is not null").unionByName(second_counts(timely, rules, fields=fields, time=time)).groupBy(*KEY, "second").agg(F.sum("n").alias("n"))
+        latest = df.agg(F.max(second)).first()[0]
+        now = max((x for x in (clock, latest) if x is not None), default=None)
+        held = counts if now is None else counts.filter(F.col("second") >= now - lateness - reach)
+        mark = spark.createDataFrame([] if now is None else [(None, None, None, now, None)], _STATE)
+        found = crossings(counts, rules)
+        at = F.unix_seconds("trigger_time")
+        if clock is not None:
+            found = found.filter(at > clock - lateness)  # the others are final already
+        final = F.lit(False) if now is None else at <= now - lateness
+        found.withColumn("final", final).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        held.unionByName(mark).write.mode("overwrite").parquet(f"{state}/v={number}")
+
+    writer = logs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+def read_sliding(spark: SparkSession, out: str) -> DataFrame:
+    """Final moments of all batches, and those of the last batch that may still change."""
+    rows = spark.read.schema(StructType([*ALERT, StructField("final", BooleanType()), StructField("batch", LongType())])).parquet(out)
+    last = rows.agg(F.max("batch").alias("last"))  # one row
+    return rows.crossJoin(F.broadcast(last)).filter("final or batch = last").drop("batch", "last")
