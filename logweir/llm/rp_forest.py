@@ -6,12 +6,15 @@ worst margin is best is next, whichever tree it is in, until the leaves it has c
 candidates are ranked by exact cosine. The budget comes from an audit: the true neighbours of some queries, found by
 brute force over all vectors, say how far the queue must go to meet the target recall.
 
-Vectors and queries meet by leaf. A leaf that holds many of either is cut into blocks, each pair of blocks a piece of work.
+Vectors and queries meet by cell, a branch of a tree that holds about ``block_rows`` vectors: a vector goes there once for each tree, a query once
+with the list of the cell's leaves that it has come to, and only vectors of those leaves are its candidates. A cell that holds many vectors
+or queries is cut into blocks, each pair of blocks a piece of work. Vectors of different lengths have trees of their own.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +32,10 @@ class Plan:
     leaf_rows: int = 100
     sample_rows: int = 20_000
     audit_queries: int = 64
-    recall: float = 0.98
+    recall: float = 0.95
     block_rows: int = 8_192
     block_queries: int = 2_048
+    few_rows: int = 2_048  # vectors of a length that so few have are compared with all of them
     seed: int = 3
 
 
@@ -138,101 +142,167 @@ def _budget(trees: Trees, rows: np.ndarray, queries: list[tuple[int, list[float]
     if not need:
         return np.inf
     # with room for what a sample of queries does not show
-    return 1.25 * float(np.quantile(need, plan.recall))
+    return 1.1 * float(np.quantile(need, plan.recall))
 
 
-def search(df: DataFrame, every: int = 50, key: str = "vec_id", vector: str = "embedding", plan: Plan | None = None) -> DataFrame:
-    """The nearest neighbours of each row whose key is divisible by ``every``, among all other rows.
+@dataclass
+class Forest:
+    """The trees of one length of vectors, how many vectors each leaf has, how many a query asks for, and at which depth cells begin."""
 
-    Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (cosine in double precision), nearest first, ties to the smaller key.
-    Rows with null keys or vectors that are null, zero or hold null or non-finite components take no part; nor do vectors of
-    another length than most. Of rows with equal keys one counts: the smallest vector. Fewer candidates than neighbours:
-    all of them. Other columns are not read; an empty table gives no rows.
-    """
-    plan = plan or Plan()
-    spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).filter(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    rows = stored(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sizes is None:
-        return empty
-    rows, total = rows.filter(F.size("vec") == sizes["n"]), sizes["count"]
+    trees: Trees
+    counts: np.ndarray  # by tree and leaf
+    budget: float
+    level: int
+
+    def cell(self, leaf: np.ndarray) -> np.ndarray:
+        return leaf >> (self.trees.depth - self.level)
+
+    def blocks(self, rows: int) -> np.ndarray:
+        """Into how many blocks of ``rows`` vectors each cell goes, by tree and cell."""
+        held = self.counts.reshape(len(self.counts), 1 << self.level, -1).sum(axis=2)
+        return np.maximum(1, -(-held // rows))
+
+
+def _forest(rows: DataFrame, total: int, every: int, plan: Plan) -> Forest | None:
+    """Trees for the vectors of one length, and the budget that meets the target recall; None if nothing is asked."""
+    spark = rows.sparkSession
     asked = rows.filter(F.col("vec_id") % every == 0)
-    audited = [(r["vec_id"], r["vec"]) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(plan.audit_queries).collect()]
+    audited = [(r["vec_id"], r["vec"]) for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(plan.audit_queries).collect()]
     if not audited:
-        return empty
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(plan.seed)), "vec_id").limit(plan.sample_rows).toArrow().to_pandas().sort_values("vec_id")
-    trees = fit(unit(matrix(list(sample["vec"]))), total, plan)
+        return None
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(plan.seed)), "vec_id", "vec").limit(plan.sample_rows).toArrow().to_pandas()
+    order = sorted(range(len(sample)), key=lambda i: (sample["vec_id"][i], tuple(sample["vec"][i])))
+    trees = fit(unit(matrix([sample["vec"][i] for i in order])), total, plan)
     sent = spark.sparkContext.broadcast(trees)
-    cells = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("id", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int32())])
 
     def place(batches: Batches) -> Batches:
         for b in batches:
-            m = matrix(b["vec"].to_pylist())
-            leaf = sent.value.leaves(unit(m))
+            leaf = sent.value.leaves(unit(matrix(b["vec"].to_pylist())))
             for t in range(leaf.shape[1]):
-                yield batch(cells, np.full(len(m), t), leaf[:, t], b["vec_id"], [v.tobytes() for v in m])
+                yield batch(schema, np.full(len(leaf), t), leaf[:, t])
 
-    kinds = "tree int, leaf int, id long, data binary"
-    placed = rows.mapInArrow(place, kinds)
     counts = np.zeros((plan.trees, 1 << trees.depth), np.int64)
-    for r in placed.groupBy("tree", "leaf").count().collect():  # as many rows as there are leaves
+    for r in rows.mapInArrow(place, "tree int, leaf int").groupBy("tree", "leaf").count().collect():  # as many rows as there are leaves
         counts[r["tree"], r["leaf"]] = r["count"]
     truth = _audit(rows, audited, plan).toArrow().to_pandas()
     # every vector is in one leaf of each tree: so many rows hold enough different ones
     budget = max(_budget(trees, counts, audited, truth, plan), plan.trees * (plan.neighbours + 1))
-    tables = spark.sparkContext.broadcast((trees, counts))
+    level = min(trees.depth, max(0, int(np.ceil(np.log2(max(1, total / plan.block_rows))))))
+    return Forest(trees, counts, budget, level)
 
-    def ask(batches: Batches) -> Batches:
-        trees, counts = tables.value
+
+def search(df: DataFrame, every: int = 50, key: str = "vec_id", vector: str = "embedding", plan: Plan | None = None) -> DataFrame:
+    """The nearest neighbours of each row whose key is divisible by ``every``, among all other rows.
+
+    Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (cosine in double precision), nearest first, ties to the smaller key.
+    Rows with null keys or vectors that are null, zero or hold null or non-finite components take no part. Vectors are
+    compared with those of their own length, whatever lengths there are. Rows with one key are one item with several vectors: its
+    score is the best of them, and it is no candidate of itself. Fewer candidates than neighbours: all of them. Other columns
+    are not read; an empty table gives no rows.
+    """
+    plan = plan or Plan()
+    spark = df.sparkSession
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).filter(F.col("vec_id").isNotNull() & usable(F.col("vec")))
+    rows = stored(rows.dropDuplicates(["vec_id", "vec"]), "vectors")
+    # one row for each length that has enough vectors for trees
+    many = rows.groupBy(F.size("vec").alias("n")).count().filter(F.col("count") > plan.few_rows).orderBy("n").collect()
+    grown = {r["n"]: _forest(rows.filter(F.size("vec") == r["n"]), r["count"], every, plan) for r in many}
+    tables = spark.sparkContext.broadcast(grown)
+    schema = pa.schema([("length", pa.int32()), ("tree", pa.int32()), ("cell", pa.int64()), ("blocks", pa.int64()), ("id", pa.int64()), ("leaves", pa.binary()), ("data", pa.binary())])
+    kinds = "length int, tree int, cell long, blocks long, id long, leaves binary, data binary"
+    few, block_rows = np.zeros(1, np.int32).tobytes(), plan.block_rows
+
+    def by_length(batches: Batches) -> Iterator[tuple[int, Forest | None, bool, np.ndarray, np.ndarray]]:
         for b in batches:
-            m = matrix(b["vec"].to_pylist())
-            for i, v, u in zip(b["vec_id"].to_pylist(), m, unit(m), strict=True):
-                found = trees.visit(u, counts, budget)
-                yield batch(cells, [t for t, _ in found], [x for _, x in found], [i] * len(found), [v.tobytes()] * len(found))
+            vectors, ids = b["vec"].to_pylist(), b["vec_id"].to_numpy()
+            sizes = np.array([len(v) for v in vectors], np.int64)
+            for n in np.unique(sizes):
+                own = np.flatnonzero(sizes == n)
+                yield int(n), tables.value.get(int(n)), int(n) in tables.value, ids[own], matrix([vectors[i] for i in own])
 
-    asking = asked.mapInArrow(ask, kinds)
+    def place(batches: Batches) -> Batches:
+        for n, forest, large, ids, m in by_length(batches):
+            data = [v.tobytes() for v in m]
+            if not large:  # one leaf for all vectors of the length, in blocks by their number
+                yield batch(schema, *([x] * len(m) for x in (n, 0, 0, 1)), ids, [few] * len(m), data)
+            elif forest:
+                leaf, blocks = forest.trees.leaves(unit(m)), forest.blocks(block_rows)
+                for t in range(leaf.shape[1]):
+                    cell = forest.cell(leaf[:, t])
+                    yield batch(schema, np.full(len(m), n), np.full(len(m), t), cell, blocks[t, cell], ids, [x.tobytes() for x in leaf[:, t].astype(np.int32)], data)
+
+    def ask(batches: Batches) -> Batches:
+        for n, forest, large, ids, m in by_length(batches):
+            for i, v, u in zip(ids.tolist(), m, unit(m), strict=True):
+                if not large:
+                    yield batch(schema, [n], [0], [0], [1], [i], [few], [v.tobytes()])
+                    continue
+                blocks, found = forest.blocks(block_rows), np.array(forest.trees.visit(u, forest.counts, forest.budget), np.int64).reshape(-1, 2)
+                place = found[:, 0] << 40 | forest.cell(found[:, 1])
+                out = []
+                for where in np.unique(place):
+                    t, cell = int(where >> 40), int(where & ((1 << 40) - 1))
+                    out.append((n, t, cell, int(blocks[t, cell]), i, found[place == where, 1].astype(np.int32).tobytes(), v.tobytes()))
+                yield batch(schema, *zip(*out, strict=True))
+
+    placed = rows.mapInArrow(place, kinds)
+    asking = stored(rows.filter(F.col("vec_id") % every == 0).mapInArrow(ask, kinds), "asking")
     return _meet(placed, asking, plan)
 
 
+def _nearest(row_ids: np.ndarray, m: np.ndarray, places: np.ndarray, leaves: list[np.ndarray], asked: np.ndarray, q: np.ndarray, number: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its best candidates among the rows whose leaf it has come to: key, keys, scores."""
+    known, place = np.unique(places, return_inverse=True)
+    u, several = unit(m), len(np.unique(row_ids)) < len(row_ids)
+    for at in range(0, len(asked), 256):
+        part = slice(at, at + 256)
+        open_leaf = np.stack([np.isin(known, x) for x in leaves[part]])
+        quick = np.where(open_leaf[:, place], unit(q[part]) @ u.T, -np.inf)
+        for own, v, near in zip(asked[part].tolist(), q[part], quick, strict=True):
+            near[row_ids == own] = -np.inf
+            able = np.flatnonzero(near > -np.inf)
+            if len(able) > number and not several:
+                able = able[near[able] >= np.partition(near[able], -number)[-number] - 1e-9]
+            score = cosine(np.broadcast_to(v, (len(able), len(v))), m[able])
+            order = np.lexsort((row_ids[able], -score))
+            keys, score = row_ids[able][order], score[order]
+            if several:  # the best vector of each key
+                first = np.sort(np.unique(keys, return_index=True)[1])
+                keys, score = keys[first], score[first]
+            yield own, keys[:number], score[:number]
+
+
 def _meet(placed: DataFrame, asking: DataFrame, plan: Plan) -> DataFrame:
-    """Vectors and queries of the same leaf, ranked within the leaf, then over all leaves."""
+    """Vectors and queries of the same cell, ranked within the cell, then over all cells."""
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asking = stored(asking, "asking")
-    row_counts = placed.groupBy("tree", "leaf").agg(F.count("*").alias("rows"))
-    query_counts = asking.groupBy("tree", "leaf").agg(F.count("*").alias("queries"))
-    blocks = row_counts.join(query_counts, ["tree", "leaf"]).select("tree", "leaf", F.ceil(F.col("rows") / plan.block_rows).alias("r"), F.ceil(F.col("queries") / plan.block_queries).alias("q"))
+    where = ["length", "tree", "cell"]
+    # cells that nobody asks for go; the others have as many blocks of queries as they need
+    queries = asking.groupBy(*where).agg(F.ceil(F.count("*") / plan.block_queries).alias("q"))
 
     def dealt(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
-        df = df.join(blocks, ["tree", "leaf"]).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(5)), F.col(own)))
-        df = df.withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        df = df.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(5)), F.col(own))).withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
         pair = ("theirs", "mine") if query else ("mine", "theirs")
-        return df.select(F.xxhash64("tree", "leaf", *pair).alias("cell"), F.lit(query).alias("query"), "id", "data")
+        return df.select(F.xxhash64(*where, *pair).alias("cell"), F.lit(query).alias("query"), "id", "leaves", "data")
 
-    both = dealt(placed, "r", "q", False).unionByName(dealt(asking, "q", "r", True))
+    both = dealt(placed.join(queries, where), "blocks", "q", False).unionByName(dealt(asking.join(queries, where), "q", "blocks", True))
     number = plan.neighbours
 
     def rank(batches: Batches) -> Batches:
         for held in runs(batches):
             t = pa.Table.from_batches(held)
             cell, query, ids = t["cell"].to_numpy(), t["query"].to_numpy(), t["id"].to_numpy()
-            m = np.frombuffer(b"".join(t["data"].to_pylist()), np.float64).reshape(len(ids), -1)
-            u = unit(m)
+            leaves, data = t["leaves"].to_pylist(), t["data"].to_pylist()
             starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             out = []
             for s, e in zip(starts, np.concatenate((starts[1:], [len(cell)])), strict=True):
-                asks = query[s:e]
-                row_ids, row_m, row_u = ids[s:e][~asks], m[s:e][~asks], u[s:e][~asks]
-                for own, v, w in zip(ids[s:e][asks].tolist(), m[s:e][asks], u[s:e][asks], strict=True):
-                    keep = row_ids != own
-                    quick = row_u @ w
-                    if keep.sum() > number:
-                        keep &= quick >= np.partition(quick[keep], -number)[-number] - 1e-9
-                    near = row_ids[keep]
-                    score = cosine(np.broadcast_to(v, (len(near), len(v))), row_m[keep])
-                    order = np.lexsort((near, -score))[:number]
-                    out.append((np.full(len(order), own), near[order], score[order]))
+                at, asks = np.arange(s, e)[~query[s:e]], np.arange(s, e)[query[s:e]]
+                if not len(at) or not len(asks):
+                    continue
+                m, q = (np.frombuffer(b"".join([data[i] for i in x]), np.float64).reshape(len(x), -1) for x in (at, asks))
+                places = np.frombuffer(b"".join([leaves[i] for i in at]), np.int32)
+                found = _nearest(ids[at], m, places, [np.frombuffer(leaves[i], np.int32) for i in asks], ids[asks], q, number)
+                out += [(np.full(len(k), own), k, x) for own, k, x in found]
             if out:
                 yield batch(_FOUND, *(np.concatenate(c) for c in zip(*out, strict=True)))
 

@@ -96,16 +96,28 @@ def vector_groups(rows, least=0.93):
 
 
 def neighbours(rows, every, number):
-    """{(query, rank): (vec_id, score)} of rows (key, vector)."""
-    rows = [(k, v) for k, v in rows if usable(v)]
-    keys = np.array([k for k, _ in rows])
-    m = np.array([v for _, v in rows], float)
-    m = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    """{(query, rank): (vec_id, score)} of rows (key, vector): vectors of one length are compared, a key's best vector counts, and none is its own neighbour."""
+    by_size = {}
+    for k, v in rows:
+        if k is not None and usable(v):
+            by_size.setdefault(len(v), []).append((k, v))
+    found = {}
+    for own in by_size.values():
+        keys = np.array([k for k, _ in own])
+        m = np.array([v for _, v in own], float)
+        m = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        several = len(set(keys.tolist())) < len(keys)
+        for i in np.flatnonzero(keys % every == 0):
+            score = m @ m[i]
+            take = range(len(keys)) if several else np.lexsort((keys, -np.round(score, 12)))[: number + 1]
+            best = found.setdefault(int(keys[i]), {})
+            for j in take:
+                if keys[j] != keys[i]:
+                    best[int(keys[j])] = max(best.get(int(keys[j]), -2.0), float(score[j]))
     out = {}
-    for i in np.flatnonzero(keys % every == 0):
-        score = m @ m[i]
-        order = [j for j in np.lexsort((keys, -np.round(score, 12))) if j != i][:number]
-        out |= {(int(keys[i]), r + 1): (int(keys[j]), float(score[j])) for r, j in enumerate(order)}
+    for k, best in found.items():
+        order = sorted(best, key=lambda j: (-round(best[j], 12), j))[:number]
+        out |= {(k, r + 1): (j, best[j]) for r, j in enumerate(order)}
     return out
 
 

@@ -190,18 +190,42 @@ def test_nearest_edges(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).tolist(), 1) for i in range(300)]
     rows += [(1000 + i, rows[50][1], 1) for i in range(40)]  # ties
-    rows += [(2000, None, 1), (2050, [0.0] * 8, 1), (2100, [1.0, None] * 4, 1), (2150, [float("nan")] * 8, 1), (None, rows[3][1], 1), (2200, [1.0, 2.0], 1), (7, rows[7][1], 1)]
+    rows += [(2000, None, 1), (2050, [0.0] * 8, 1), (2100, [1.0, None] * 4, 1), (2150, [float("nan")] * 8, 1), (None, rows[3][1], 1)]
+    rows += [(3000 + i, rng.standard_normal(3).tolist(), 1) for i in range(120)] + [(2200, [1.0, 2.0], 1)]  # other lengths
+    # keys on several rows, with other vectors and the same ones
+    rows += [(7, rows[7][1], 1), (50, rng.standard_normal(8).tolist(), 1), (100, rng.standard_normal(3).tolist(), 1), (9, rows[100][1], 1), (50, rows[50][1], 1)]
     df = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 as rank", "2 as score", "3 as tree").repartition(3)
-    plan = rp_forest.Plan(leaf_rows=20, block_rows=16, block_queries=3, recall=1.0)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in rp_forest.search(df, 50, plan=plan).collect()}
-    plain = dict((k, v) for k, v, _ in rows if k is not None and usable(v) and len(v) == 8)
-    want = neighbours(list(plain.items()), 50, 5)
-    assert set(got) == set(want)
+    plan = rp_forest.Plan(leaf_rows=20, block_rows=16, block_queries=3, recall=1.0, few_rows=150)
+    found = rp_forest.search(df, 50, plan=plan).collect()
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in found}
+    want = neighbours([(k, v) for k, v, _ in rows], 50, 5)
+    assert len(found) == len(got) and set(got) == set(want)
+    assert {k for k, _ in got} == {*range(0, 300, 50), 1000, 3000, 3050, 3100}
     hits = sum(got[k][0] == want[k][0] for k in want)
     assert hits >= 0.95 * len(want)
-    assert all(got[k][1] == pytest.approx(cosine(plain[k[0]], plain[got[k][0]]), abs=1e-12) for k in got)
+    vectors = {}
+    for k, v, _ in rows:
+        if usable(v):
+            vectors.setdefault(k, []).append(v)
+    for (own, _), (other, score) in got.items():
+        assert score == pytest.approx(max(cosine(x, y) for x in vectors[own] for y in vectors[other] if len(x) == len(y)), abs=1e-12)
     # equal vectors tie: the smaller ids first
     assert [got[50, r][0] for r in range(1, 6)] == [1000, 1001, 1002, 1003, 1004]
+    # a length that few vectors have is compared in full
+    assert all(got[k] == (want[k][0], pytest.approx(want[k][1], abs=1e-12)) for k in want if k[0] >= 3000)
+
+
+@pytest.mark.parametrize("n,kind", [(20_000, "noise"), (50_000, "noise"), (20_000, "groups")])
+def test_nearest_recall(spark, n, kind):
+    """Held against brute force: noise, where neighbours are hardly nearer than others, and groups."""
+    rng = np.random.default_rng(n)
+    m = rng.standard_normal((n, 32)) if kind == "noise" else rng.standard_normal((400, 32))[rng.integers(0, 400, n)] + 0.2 * rng.standard_normal((n, 32))
+    rows = [(i, v) for i, v in enumerate(m.tolist())]
+    got = rp_forest.search(spark.createDataFrame([(k, v, 1) for k, v in rows], VECTORS).repartition(8), 100).collect()
+    want = neighbours(rows, 100, 5)
+    assert {(r.query_id, r.rank) for r in got} == set(want)
+    true = {(q, v) for (q, _), (v, _) in want.items()}
+    assert len(true & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(true)
 
 
 def test_nearest_of_few(spark):
