@@ -16,7 +16,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logweir.functions.fields import Entry
 from logweir.functions.regex import InvalidPattern, java_pattern
@@ -47,6 +47,15 @@ class RuleIndex:
     texts: frozenset[int]  # fields of which some step needs the full text
 
 
+def kind_of(entry: Entry, field: str) -> str:
+    """``Value.numeric`` of a field, told by the types alone."""
+    place = entry.place(field)
+    kind = entry.columns[place.column] if place.column and not entry.shadow else T.StringType()
+    if isinstance(kind, (T.StringType, T.VariantType)):
+        return "text"
+    return "always" if isinstance(kind, T.NumericType) else "never"
+
+
 class _Compiler:
     def __init__(self, entry: Entry) -> None:
         self.entry = entry
@@ -57,7 +66,7 @@ class _Compiler:
     def kind(self, field: str) -> str:
         """Whether the field's values are numbers always, never, or where their text reads like one."""
         if field not in self.kinds:
-            self.kinds[field] = self.entry.value(field).numeric
+            self.kinds[field] = kind_of(self.entry, field)
         return self.kinds[field]
 
     def number(self, field: str) -> int:

@@ -524,3 +524,25 @@ def rules_as_of(spark, folder):
     rows = [(f"{r}-{v}", r, v, json.dumps(body.to_doc()), "me", "", datetime.datetime.fromisoformat(when)) for r, v, body, when in table]
     versions = V.in_force(spark.createDataFrame(rows, RULE_VERSION))
     return V.apply_as_of(views.logs(spark, folder), versions).select("id", json_field("edition").alias("edition"))
+
+
+@query(
+    "rules_as_of_versions",
+    O.logs(
+        """select id, message from (select l.id, l.message, l.k, arg_max({'limit': o_orderkey % 100, 'on': o_orderkey % 7 <> 0},
+          {'at': timestamp '2024-01-01' + to_seconds(o_orderkey * 7919 % 2592000), 'v': o_orderkey}) filter (timestamp '2024-01-01' + to_seconds(o_orderkey * 7919 % 2592000) <= l."timestamp") v
+          from logs l left join orders o on l.user_id = concat('u_', cast(o.o_custkey as varchar)) group by l.id, l.message, l.k)
+        where not coalesce(v['on'] and k > v['limit'], false)"""
+    ),
+)
+def rules_as_of_versions(spark, folder):
+    """A version for each order: from some moment on, rows of the customer above a limit are dropped; one in seven versions switches the rule off."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    head = F.concat(F.lit('{"name":"r","id":"r'), customer, F.lit('","actions":[{"type":"drop"}],"enabled":'), (key % 7 != 0).cast("string"))
+    leaves = F.concat(F.lit(',"condition":{"all":[{"field":"user_id","operator":"eq","value":"u_'), customer, F.lit('"},{"field":"k","operator":"gt","value":'), (key % 100).cast("string"), F.lit("}]}}"))
+    versions = views.table(spark, folder, "orders").select(
+        F.concat(F.lit("r"), customer).alias("rule_id"), key.cast("bigint").alias("version"), F.concat(head, leaves).alias("content"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + key * 7919 % 2592000).alias("created_at"),
+    )
+    logs = views.logs(spark, folder)
+    return V.apply_versions(logs, V.index_versions(versions, logs)).select("id", "message")

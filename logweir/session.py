@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +65,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, by way of the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, file.relative_to(home.parent))
+    name = f"{scratch(spark, 'code')}/{home.name}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    try:
+        stream.write(bytearray(packed.getvalue()))
+    finally:
+        stream.close()
+    context.addPyFile(name)
+    _SHIPPED.add(context.applicationId)
