@@ -5,9 +5,9 @@ row takes one token or is dropped. Only ticks that hold rows are looked at.
 
 What a run of ticks does to the level on entry is always ``min(top, max(floor,
 level + shift))``, and such steps compose. So runs of at most ``BLOCK`` ticks are
-folded on their own, the blocks of a key are chained, and each block is folded
-again from its true entry level. No task handles more than a block of one key's
-ticks, or one entry per block.
+folded on their own, then runs of blocks, then runs of those: a tree of effects. What is left of a
+key at the top, one entry for each ``BLOCK ** (LEVELS + 1)`` ticks of time, is chained, and the levels on entry go down the tree again to the
+blocks and their ticks. No task handles more than ``BLOCK`` entries of a key at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logweir.functions.ranks import first_rows
 
 BLOCK = 1024
+LEVELS = 2  # of runs above the blocks
 
 
 def _ticks(df: DataFrame, key: str, time: str, tick_ms: int) -> DataFrame:
@@ -61,31 +62,23 @@ def allowances(
         first.alias("tick"), F.lit(0).cast("bigint").alias("shift"), F.lit(0).cast("bigint").alias("floor"), cap.alias("top")
     )
     runs = runs.withColumns({"_first": first, "_last": last, "_effect": F.aggregate("ticks", identity, compose)})
-    # chain the blocks of a key: one small entry per block
-    link = F.struct(F.col("_block").alias("block"), F.col("_first").alias("first"), F.col("_last").alias("last"), F.col("_effect").alias("f"))
-    chain = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("block"), link.alias("link")))).alias("links"))
+    levels = [runs.select(key, F.col("_block").alias("_node"), "_first", "_last", "_effect")]
+    for _ in range(LEVELS):
+        levels.append(_runs_of(levels[-1], key, block, rate, cap))
+    top = levels[-1]
+    # the few entries that are left of a key
+    chain = top.groupBy(key).agg(F.array_sort(F.collect_list(_child())).alias("_children"))
     if buckets is None:
-        chain = chain.withColumns({"level": cap, "tick": F.lit(None).cast("bigint")})
+        chain = chain.withColumns({"_level": cap, "_tick": F.lit(None).cast("bigint")})
     else:
-        chain = chain.join(buckets.select(key, "level", "tick"), key, "left").withColumn("level", F.coalesce("level", cap))
-
-    def enter(acc: Column, x: Column) -> Column:
-        b = x["link"]
-        # rows older than the bucket's tick find the level as it is
-        gap = F.greatest(F.coalesce(b["first"] - acc["last"], F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
-        level = F.least(acc["level"] + gap * rate, cap)
-        after = F.least(b["f"]["top"], F.greatest(b["f"]["floor"], level + b["f"]["shift"]))
-        out = F.concat(acc["out"], F.array(F.struct(b["block"].alias("block"), level.alias("level"))))
-        return F.struct(after.alias("level"), F.greatest(b["last"], acc["last"]).alias("last"), out.alias("out"))
-
-    start = F.struct(
-        F.col("level"),
-        F.col("tick").alias("last"),
-        F.array().cast("array<struct<block:bigint,level:bigint>>").alias("out"),
-    )
-    entries = chain.select(key, F.explode(F.aggregate("links", start, enter, lambda a: a["out"])).alias("e")).select(
-        key, F.col("e.block").alias("_block"), F.col("e.level").alias("_level")
-    )
+        before = buckets.select(key, F.col("level").alias("_level"), F.col("tick").alias("_tick"))
+        chain = chain.join(before, key, "left").withColumn("_level", F.coalesce("_level", cap))
+    entries = _entries(chain, key, rate, cap, F.col("_tick"))
+    for below, above in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        inside = above.select(key, "_node", "_children").join(entries, [key, "_node"])
+        # the first child begins with its parent
+        entries = _entries(inside, key, rate, cap, F.get("_children", F.lit(0))["first"])
+    entries = entries.withColumnRenamed("_node", "_block")
 
     def spend(acc: Column, t: Column) -> Column:
         level = F.least(acc["level"] + (t["tick"] - acc["tick"]) * rate, cap)
@@ -103,6 +96,47 @@ def allowances(
     )
 
 
+def _child() -> Column:
+    """A node as an entry of its parent; in order of time."""
+    return F.struct(F.col("_node").alias("node"), F.col("_first").alias("first"), F.col("_last").alias("last"), F.col("_effect").alias("f"))
+
+
+def _clamped(x: Column, f: Column) -> Column:
+    """The level after a node's ticks, or a bound of it, from the level at its first one."""
+    return F.least(f["top"], F.greatest(f["floor"], x + f["shift"]))
+
+
+def _runs_of(nodes: DataFrame, key: str, block: int, rate: Column, cap: Column) -> DataFrame:
+    """Nodes of ``block`` nodes: their children, first and last tick, and effect."""
+    parents = nodes.withColumn("_parent", F.floor(F.col("_node") / block).cast("bigint")).groupBy(key, "_parent").agg(F.array_sort(F.collect_list(_child())).alias("_children"))
+    first = F.get("_children", F.lit(0))
+
+    def compose(acc: Column, c: Column) -> Column:
+        gain = (c["first"] - acc["last"]) * rate
+        floor, top = (_clamped(F.least(acc["f"][x] + gain, cap), c["f"]) for x in ("floor", "top"))
+        return F.struct(c["last"].alias("last"), F.struct((acc["f"]["shift"] + gain + c["f"]["shift"]).alias("shift"), floor.alias("floor"), top.alias("top")).alias("f"))
+
+    effect = lambda f: F.struct(f["shift"].alias("shift"), f["floor"].alias("floor"), f["top"].alias("top"))
+    begin = F.struct(first["last"].alias("last"), effect(first["f"]).alias("f"))
+    rest = F.slice("_children", F.lit(2), F.size("_children"))
+    folded = parents.withColumn("_folded", F.aggregate(rest, begin, compose))
+    return folded.select(key, F.col("_parent").alias("_node"), "_children", first["first"].alias("_first"), F.col("_folded.last").alias("_last"), F.col("_folded.f").alias("_effect"))
+
+
+def _entries(parents: DataFrame, key: str, rate: Column, cap: Column, since: Column) -> DataFrame:
+    """The level on entry of each child: key, _node, _level. ``_level`` of a parent is its level at the tick ``since``, null for one that is full."""
+
+    def enter(acc: Column, c: Column) -> Column:
+        # rows older than the bucket's tick find the level as it is
+        gap = F.greatest(F.coalesce(c["first"] - acc["last"], F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+        level = F.least(acc["level"] + gap * rate, cap)
+        out = F.concat(acc["out"], F.array(F.struct(c["node"].alias("node"), level.alias("level"))))
+        return F.struct(_clamped(level, c["f"]).alias("level"), F.greatest(c["last"], acc["last"]).alias("last"), out.alias("out"))
+
+    start = F.struct(F.col("_level").alias("level"), since.alias("last"), F.array().cast("array<struct<node:bigint,level:bigint>>").alias("out"))
+    return parents.select(key, F.explode(F.aggregate("_children", start, enter, lambda a: a["out"])).alias("e")).select(key, F.col("e.node").alias("_node"), F.col("e.level").alias("_level"))
+
+
 def rate_limit(
     df: DataFrame,
     *,
