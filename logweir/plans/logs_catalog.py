@@ -8,7 +8,7 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.operators import alerts as A, detectors as T, filters as L, mining as M, quality as K, query as Q, ratelimit as B, reports as R, strategy as S
+from logweir.operators import alerts as A, detectors as T, filters as L, mining as M, quality as K, query as Q, ratelimit as B, reports as R, similar as C, strategy as S
 from logweir.operators.alerts import AlertRule
 from logweir.operators.filters import CompositeFilter, FilterConfig, FilterRule
 from logweir.operators.model import Action, Condition, Rule
@@ -273,6 +273,21 @@ def clusters(spark, folder):
     return M.clusters(views.logs(spark, folder))
 
 
+@query(
+    "clusters_similar",
+    O.mined(
+        """select min(id) id, arg_min(pattern, (-frequency, pattern)) center, count(*) templates, cast(sum(frequency) as bigint) size, coalesce(min(similarity), 1.0) similarity
+        from (select n.*, r.root, l.similarity from named n join (select x, min(y) root from reach group by x) r on r.x = n.id left join (select x, min(similarity) similarity from links group by x) l on l.x = n.id)
+        group by root having sum(frequency) >= 2""",
+        "named as (select substr(sha256(pattern), 1, 16) id, pattern, frequency, list_distinct(string_split(pattern, ' ')) t from patterns)",
+        """links as (select * from (select a.id x, b.id y, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::double similarity from named a join named b on a.id <> b.id) where similarity >= 0.7 - 1e-9)""",
+        "reach as (select id x, id y from named union select r.x, l.y from reach r join links l on r.y = l.x)",
+    ).replace("with logs", "with recursive logs", 1),
+)
+def clusters_similar(spark, folder):
+    return C.mine_clusters(views.logs(spark, folder), 0.7)
+
+
 @query(
     "cluster_members",
     O.mined(f"select k.id, substr(sha256(p.pattern), 1, 16) cluster_id from keyed k join (select grp, {O.template('first_message')} pattern from grouped) g on k.grp = g.grp join patterns p on p.pattern = g.pattern where p.frequency >= 2"),
