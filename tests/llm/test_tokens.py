@@ -116,6 +116,22 @@ def test_packing_of_odd_documents(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_no_group_is_large(spark):
+    """Rows that repeat and very long documents: a group holds about as many pieces as asked for, and full pieces are in none."""
+    rows = [(3, "again and again")] * 6_000 + [(None, "no key")] * 3_000 + [(i, "long word " * 20_000) for i in range(10, 14)]
+    df = documents(spark, rows).repartition(5)
+    pieces = packing.pack(df, group_rows=500).collect()
+    by_sequence = _packed_right(rows, pieces)
+    groups = {}
+    for r in pieces:
+        if r.sequence_id < packing.FULL:
+            groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+        else:
+            assert (r.offset, r.length) == (0, 1024)
+    assert sum(groups.values()) == 9_004 and max(groups.values()) < 700
+    assert sum(s >= packing.FULL for s in by_sequence) == sum(r.length == 1024 for r in pieces) > 100
+
+
 def test_op3_over_its_table(spark):
     docs = read("documents")
     rows = list(zip(docs["doc_id"].tolist(), docs["text"], strict=True))
