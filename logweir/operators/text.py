@@ -25,6 +25,7 @@ ERRORS = {
     "ERROR_CONNECTION_ERROR": r"(?i)(connection refused|connection reset|connection lost)",
 }
 STATUS = r"(?<!\w)[1-5][0-9]{2}(?!\w)"
+# Words around a status code, user id patterns, stop words, sentence ends.
 HTTP_WORDS = "http|get|post|put|delete|request|response|url|path"
 USERS = (
     r"(?:user[_-]?id|uid|user)[=:]\s*([a-zA-Z0-9_-]+)",

@@ -16,6 +16,7 @@ NOW_TEXT = "2024-01-31 00:00:00.000000"
 
 # ---- detection ----
 
+# The line patterns and thresholds in SQL.
 _FORMAT = r"""case when json_valid(raw) and starts_with(raw, '{') then 'json'
  when len(regexp_extract_all(raw, '[\w_-]+[=:]\s*[\S]+')) >= 2 and len(regexp_extract_all(raw, '[\w_-]+[=:]\s*[\S]+')) / len(regexp_extract_all(raw, '\S+')) > 0.5 then 'key_value'
  when regexp_matches(raw, '^<\d{1,3}>\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}') or regexp_matches(raw, '^\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\w+') or regexp_matches(raw, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+') then 'syslog'
