@@ -9,7 +9,8 @@ from logweir.operators import detect as D, parse as P, semantic as S, text as X
 from logweir.operators.transform import TransformRule, transform_logs
 from logweir.plans import oracle as O
 from logweir.plans.registry import json_field, query, time_text
-from logweir.sources import views
+from logweir.session import scratch
+from logweir.sources import readers, views
 
 NOW = "2024-01-31 00:00:00"
 NOW_TEXT = "2024-01-31 00:00:00.000000"
@@ -27,6 +28,20 @@ _RATIO = r"len(regexp_extract_all(raw, '[\w_-]+[=:]\s*[\S]+')) / len(regexp_extr
 DETECTED = f"detected as (select *, {_FORMAT} format from raw_lines)"
 
 
+@query(
+    "training_samples",
+    O.lines("""select raw log, case id % 6 when 0 then 'json' when 1 then 'key_value' when 2 then 'syslog' when 3 then 'apache' when 4 then 'nginx' else 'unstructured' end expected_format, 'logs' source
+        from raw_lines"""),
+)
+def training_samples(spark, folder):
+    """Labelled lines written to the shared folder and read back."""
+    path = scratch(spark, "samples")
+    formats = F.array(*map(F.lit, ("json", "key_value", "syslog", "apache", "nginx", "unstructured")))
+    lines = views.raw_lines(spark, folder)
+    readers.write_samples(lines.select(F.col("raw").alias("log"), F.get(formats, (F.col("id") % 6).cast("int")).alias("expected_format"), F.lit("logs").alias("source")), path)
+    return readers.read_samples(spark, path)
+
+
 @query(
     "detect_format",
     O.lines(f"select id, format, round(case format when 'json' then 1.0 when 'key_value' then 0.7 + 0.2 * {_RATIO} when 'syslog' then 0.9 when 'unstructured' then 0.5 else 0.95 end, 6) confidence from detected", DETECTED),

@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logweir.schemas import TRAINING_SAMPLE
 
 
-def kafka_options(brokers: str, topic: str, group: str = "", *, starting: str = "earliest", max_per_trigger: int | None = None, fail_on_data_loss: bool = True) -> dict[str, str]:
+def kafka_options(
+    brokers: str, topic: str, group: str = "", *, starting: str = "earliest", max_per_trigger: int | None = None, flush_rows: int | None = None, flush_seconds: int = 5,
+    fail_on_data_loss: bool = True,
+) -> dict[str, str]:
+    """Reader options. With ``flush_rows`` a micro-batch starts once so many rows wait, or ``flush_seconds`` after the one before, whichever comes first."""
     options = {"kafka.bootstrap.servers": brokers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": str(fail_on_data_loss).lower()}
     if group:
         options["kafka.group.id"] = group
     if max_per_trigger:
         options["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    if flush_rows:
+        options |= {"minOffsetsPerTrigger": str(flush_rows), "maxTriggerDelay": f"{flush_seconds}s"}
     return options
 
 
@@ -45,9 +51,9 @@ def stream_table(spark: SparkSession, folder: str, name: str, *, max_files: int
     return reader.parquet(folder)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled lines, stored as one JSON list."""
-    return spark.read.schema(TRAINING_SAMPLE).json(path, multiLine=True)
+def read_samples(spark: SparkSession, path: str, *, listed: bool = False) -> DataFrame:
+    """Labelled lines: an object on each line, as ``write_samples`` stores them, or with ``listed`` one JSON list for each file."""
+    return spark.read.schema(TRAINING_SAMPLE).json(path, multiLine=listed)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:

@@ -107,6 +107,8 @@ def test_topic_and_console(spark, tmp_path):
     assert readers.kafka_options("b:9092", "logs", "g", max_per_trigger=10) == {
         "kafka.bootstrap.servers": "b:9092", "subscribe": "logs", "startingOffsets": "earliest", "failOnDataLoss": "true", "kafka.group.id": "g", "maxOffsetsPerTrigger": "10",
     }
+    flushed = readers.kafka_options("b:9092", "logs", flush_rows=1000)
+    assert (flushed["minOffsetsPerTrigger"], flushed["maxTriggerDelay"]) == ("1000", "5s")
     df = spark.createDataFrame([("2024-01-01", "INFO", 'say "hi"', "api", "", "t1")], "day string, level string, message string, service string, pod string, trace_id string")
     row = sinks.topic_rows(df.withColumn("timestamp", F.col("day").cast("timestamp"))).collect()[0]
     assert (row.key, row.value) == ("api", '{"timestamp":"2024-01-01T00:00:00.000000Z","level":"INFO","message":"say \\"hi\\"","service":"api","trace_id":"t1"}')
@@ -119,6 +121,9 @@ def test_topic_and_console(spark, tmp_path):
     sinks.write_console(df.select("level"), "logs", emit)
     assert open(shown).read() == '[logs] {"level":"INFO"}\n'
     path = scratch(spark, "samples")
-    sample = spark.createDataFrame([("a=1 b=2", "key_value", "unit")], "log string, expected_format string, source string")
-    readers.write_samples(sample, path)
-    assert readers.read_samples(spark, path).collect() == sample.collect()
+    sample = spark.createDataFrame([("a=1 b=2", "key_value", "unit"), ('{"x":"two\\nlines"}', "json", "unit"), ("", "unstructured", None)], "log string, expected_format string, source string")
+    readers.write_samples(sample.coalesce(1), path)
+    assert sorted(map(tuple, readers.read_samples(spark, path).collect()), key=repr) == sorted(map(tuple, sample.collect()), key=repr)
+    listed = tmp_path / "listed.json"
+    listed.write_text('[\n  {"log": "a=1 b=2", "expected_format": "key_value", "source": "unit"},\n  {"log": "c", "expected_format": "unstructured", "source": "unit"}\n]')
+    assert [r.log for r in readers.read_samples(spark, str(listed), listed=True).collect()] == ["a=1 b=2", "c"]
