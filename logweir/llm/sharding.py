@@ -53,7 +53,8 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     extra columns do not matter; an empty table gives no rows.
 
     Slots need no task that holds a shard: a shard is dealt into buckets of about ``rows_per_bucket`` rows, rows are
-    numbered in their bucket, and each bucket starts where the buckets before it end.
+    numbered in their bucket, and each bucket starts where the buckets before it end. Key and text choose the bucket, so a key
+    on many rows with other texts is no bucket of its own.
     """
     buckets = pieces(df.count() / shards, rows_per_bucket)
     mixed = F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text)))
@@ -67,7 +68,7 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
         "*",
         shard_of(F.col("mixed"), shards).alias("shard"),
         shard_of(F.col("mixed"), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64("mixed", F.lit(1)), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64("mixed", "text_crc32", "size", F.lit(1)), F.lit(buckets)).alias("bucket"),
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
