@@ -8,7 +8,7 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.operators import alerts as A, detectors as T, filters as L, mining as M, quality as K, query as Q, ratelimit as B, reports as R, similar as C, strategy as S
+from logweir.operators import alerts as A, changepoints as P, detectors as T, filters as L, mining as M, quality as K, query as Q, ratelimit as B, reports as R, search_index as X, similar as C, sketches as H, strategy as S
 from logweir.operators.alerts import AlertRule
 from logweir.operators.filters import CompositeFilter, FilterConfig, FilterRule
 from logweir.operators.model import Action, Condition, Rule
@@ -20,7 +20,7 @@ from logweir.plans.registry import json_field, query, time_text
 from logweir.plans.rules_catalog import leaf, rule
 from logweir.plans.lines_catalog import DETECTED, PARSED_LINES
 from logweir.schemas import DOCUMENTS, RULE_STORE
-from logweir.session import scratch
+from logweir.session import materialise, scratch
 from logweir.sources import ingest, readers, sinks, stores, views
 from logweir.streaming import alerts as stream_alerts, pipeline, ratelimit as stream_limits, templates
 
@@ -69,6 +69,15 @@ def search(spark, folder):
     return Q.search(_logs(spark, folder), "TimeOut after 1").select("id", time_text("timestamp").alias("ts"), "message", "total")
 
 
+@query("search_indexed", O.logs(f"select id, {_TS}, message, count(*) over () total from logs where contains(lower(message), '17 200 2')"))
+def search_indexed(spark, folder):
+    """Logs arrive as two batches that share their hours; then a text is searched in the blocks that can hold it."""
+    path, logs = scratch(spark, "indexed"), _logs(spark, folder).drop("fields")
+    for batch, part in enumerate((F.col("level") == "INFO", F.col("level") != "INFO")):
+        X.append(logs.filter(part), path, batch, columns=("message", "path"), seconds=86400)
+    return X.search_indexed(spark, path, "17 200 2").select("id", time_text("timestamp").alias("ts"), "message", "total")
+
+
 @query(
     "search_columns",
     O.logs("select id, count(*) over () total from logs where contains(lower(message), 'click') or contains(lower(path), 'click') or contains(user_id, 'click') order by \"timestamp\" desc, id desc limit 40 offset 10"),
@@ -373,6 +382,41 @@ def detect_new_pattern(spark, folder):
     return T.new_patterns(views.logs(spark, folder), F.to_timestamp_ntz(F.lit("2024-01-06"))).select("pattern", "frequency")
 
 
+# order-service writes four times as much for three days, payment-service a third of what it usually does for three others
+_MORE, _LESS = ("2024-01-12", "2024-01-15"), ("2024-01-20", "2024-01-23")
+_COPIES = """case when service = 'order-service' and "timestamp" >= timestamp '{0}' and "timestamp" < timestamp '{1}' then 4
+  when service = 'payment-service' and not ("timestamp" >= timestamp '{2}' and "timestamp" < timestamp '{3}') then 3 else 1 end""".format(*_MORE, *_LESS)
+_CHANGES = f"""shifted as (select service, "timestamp", unnest(range({_COPIES})) from logs),
+counts as (select service, cast(floor(epoch("timestamp") / 21600) as bigint) bucket, count(*) n from shifted group by 1, 2),
+filled as (select s.service, s.bucket, coalesce(c.n, 0) n from (select service, unnest(range(min(bucket), max(bucket) + 1)) bucket from counts group by service) s left join counts c using (service, bucket)),
+middle as (select *, median(n) over (partition by service, bucket % 28) m from filled),
+usual as (select *, median(abs(n - m)) over (partition by service, bucket % 28) mad from middle),
+scored as (select service, bucket, n, m, cast(greatest(-4000, least(4000, floor(cast(1000 as double) * (n - m) / greatest(cast(1.4826 as double) * mad, sqrt(greatest(m, 1)))))) as bigint) away from usual),
+steps as (select *, row_number() over (partition by service, direction order by bucket) i from (
+  select service, 'up' direction, bucket, n, m, away - 1000 step from scored union all select service, 'down', bucket, n, m, -away - 1000 from scored)),
+walk as (select service, direction, i, bucket, n, m, greatest(0, least(16000, step)) level from steps where i = 1
+  union all select s.service, s.direction, s.i, s.bucket, s.n, s.m, greatest(0, least(16000, w.level + s.step)) from walk w join steps s on s.service = w.service and s.direction = w.direction and s.i = w.i + 1),
+stretches as (select * from (select *, count(*) filter (level = 0) over (partition by service, direction order by i) part, max(bucket) over (partition by service, direction) final from walk) where level > 0),
+peaks as (select *, max(level) over (partition by service, direction, part) top from stretches),
+ends as (select *, max(bucket) filter (level = top) over (partition by service, direction, part) peak from peaks),
+found as (select service, direction, part, min(bucket) onset, min(bucket) filter (level >= 8000) alarm, any_value(peak) peak, max(bucket) = any_value(final) still,
+  sum(n) filter (bucket <= peak) observed, sum(m) filter (bucket <= peak) expected from ends group by 1, 2, 3)"""
+
+
+@query(
+    "detect_change_point",
+    O.logs(
+        f"""select service, direction, strftime(make_timestamp(onset * 21600000000), {O.TIME}) onset, strftime(make_timestamp(alarm * 21600000000), {O.TIME}) alarm,
+        case when not still then strftime(make_timestamp((peak + 1) * 21600000000), {O.TIME}) end "end", cast(observed as bigint) observed, expected from found where alarm is not null""",
+        _CHANGES,
+    ).replace("with ", "with recursive ", 1),
+)
+def detect_change_point(spark, folder):
+    logs = _logs(spark, folder).withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(_COPIES.replace('"timestamp"', "`timestamp`").replace("timestamp '", "timestamp_ntz '")))))
+    found = P.change_points(logs, seconds=21600, period=28)
+    return found.withColumns({c: time_text(c) for c in ("onset", "alarm", "end")})
+
+
 # ---- alerts ----
 
 ALERTS = [
@@ -470,6 +514,20 @@ def latency_total(spark, folder):
     return K.latency_stats(_logs(spark, folder), "duration_ms").select("count", "p50", "p95", "p99")
 
 
+@query(
+    "latency_sketched",
+    O.logs('select service, count(*) "count", round(avg(duration_ms), 6) "avg", min(duration_ms) "min", max(duration_ms) "max", true p50_near, true p95_near, true p99_near from logs group by service'),
+)
+def latency_sketched(spark, folder):
+    """Sketches of two batches that share their hours; the percentiles' true ranks must be within the stated error."""
+    path, logs = scratch(spark, "sketches"), _logs(spark, folder)
+    for batch, part in enumerate((F.col("level") == "INFO", F.col("level") != "INFO")):
+        H.absorb(H.sketch(logs.filter(part), "duration_ms"), path, batch)
+    found = H.latency_sketched(H.read(spark, path)).transform(lambda df: materialise(df, "percentiles"))
+    near = H.rank_errors(logs, "duration_ms", found, ("service",)).select("service", *[(F.col(f"e{p}") <= H.RANK_ERROR).alias(f"p{p}_near") for p in K.PERCENTS])
+    return found.join(near, "service").select("service", "count", F.round("avg", 6).alias("avg"), "min", "max", *[f"p{p}_near" for p in K.PERCENTS])
+
+
 @query("latency_last_n", O.logs('select id, service, duration_ms from logs qualify row_number() over (partition by service order by "timestamp" desc, id desc) <= 100'))
 def latency_last_n(spark, folder):
     return K.last_n(_logs(spark, folder), 100, ("service",)).select("id", "service", "duration_ms")
