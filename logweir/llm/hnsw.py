@@ -2,8 +2,9 @@
 
 Vectors are compared only under equal labels. Equal vectors are one node. The nodes of a label are dealt into shards, each
 with a graph of its own; every node queries every shard of its label. A query walks down the layers with a beam; from the near nodes
-that the beam holds it follows all links to other near nodes. The beam is widened until an audit (some nodes against the whole
-shard, by brute force) finds no near node, and none of their ten nearest, that the walks missed. Near nodes are then verified by cosine in double precision.
+that the beam holds it follows all links to other near nodes. The beam is widened until an audit (some queries, and probes laid at the very bound of some of
+the shard's nodes, against the whole shard by brute force) finds no near node that the walks missed, and 95 % of the ten nearest nodes, however far.
+A graph that needs too wide a beam for that is built anew with more links. Near nodes are then verified by cosine in double precision.
 
 Shards and blocks of queries have bounded sizes, and every pair of them is a piece of work of its own. Pairs of vectors live
 only inside such a task: it sends on each node's number of links, and a star for each of its components.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from logweir.llm.vectors import cosine, matrix, unit, usable
 
 BRIDGE = 0.02
 ROUNDING = 5e-6
+SINGLE = 1e-5  # single precision walks, double precision decides
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,12 @@ class Plan:
     build_beam: int = 48
     beam: int = 32
     audit: int = 64
+    probes: int = 128  # at random, and as many at the nodes hardest to reach
     audit_nearest: int = 10  # of each audited query, itself not counted
-    recall: float = 1.0
+    recall: float = 1.0  # of near nodes
+    far_recall: float = 0.95  # of the nearest nodes, near or not
+    widest: int = 512  # beam of a graph that is good enough
+    rebuilds: int = 2  # with twice the links each
     shard_rows: int = 8_192
     query_rows: int = 2_048
     seed: int = 5
@@ -250,32 +256,61 @@ def near_nodes(graph: Graph, queries: np.ndarray, least: float, width: int) -> I
             yield at + r[close], t[close]
 
 
+def _probes(graph: Graph, plan: Plan, least: float) -> np.ndarray:
+    """Made-up queries just inside the bound of nodes chosen at random and of those that the fewest links lead to: near nodes that the audit can ask for
+    wherever real ones are few, and the ones that walks miss first."""
+    points, near = graph.points, graph.layers[0]
+    rng = np.random.default_rng(plan.seed)
+    number = min(plan.probes, len(points))
+    led_to = np.bincount(near[near >= 0], minlength=len(points))
+    hardest = np.argsort(led_to + rng.random(len(points)))[:number]
+    at = points[np.concatenate((rng.integers(0, len(points), number), hardest))].astype(np.float64)
+    side = rng.normal(size=at.shape)
+    side -= np.einsum("ij,ij->i", side, at)[:, None] * at
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    close = least + 1e-3 * (1 - least)
+    out = close * at + np.sqrt(max(0.0, 1 - close * close)) * side / np.maximum(length, 1e-9)
+    return np.where(length > 1e-9, out, at).astype(np.float32)  # there is no side in one dimension
+
+
 def audited(graph: Graph, queries: np.ndarray, plan: Plan, least: float) -> int:
-    """A beam with which the audit's walks find the target share of all near nodes, and of each query's nearest nodes however far they are;
-    at last one as wide as the graph. Near nodes alone are too few to go by where links are sparse."""
+    """A beam with which the audit's walks find the target share of near nodes (of probes too, where links are sparse), and of each query's
+    nearest nodes however far they are; at last one as wide as the graph."""
     n = len(graph.points)
     some = queries[np.linspace(0, len(queries) - 1, min(plan.audit, len(queries))).astype(int)]
+    real = len(some)
+    some = np.concatenate((some, _probes(graph, plan, least)))
     sims = some @ graph.points.T
     # a product of matrices and a walk may round a pair at the very bound to its two sides
     there = sims >= least + ROUNDING
-    own = (sims >= 1 - ROUNDING).any(axis=1)  # the query itself, which any walk finds, tells nothing
-    ranked = -np.sort(-sims, axis=1)[:, : plan.audit_nearest + 1]
+    own = (sims[:real] >= 1 - ROUNDING).any(axis=1)  # the query itself, which any walk finds, tells nothing
+    ranked = -np.sort(-sims[:real], axis=1)[:, : plan.audit_nearest + 1]
     ranked = np.where(own[:, None], ranked[:, 1:], ranked[:, :-1]) if n > plan.audit_nearest else ranked
     width = min(max(plan.beam, plan.audit_nearest + 1), n)
     while width < n:
         got = np.zeros(there.shape, bool)
         for q, found in near_nodes(graph, some, least, width):
             got[q, found] = True
-        walked = graph.beam(some, graph.descend(some, 0), width, 0, n)[1]
+        walked = graph.beam(some[:real], graph.descend(some[:real], 0), width, 0, n)[1]
         met = (walked >= ranked[:, -1:] - ROUNDING).sum(axis=1) - own
         hits = np.clip(met, 0, ranked.shape[1]).sum()
-        if (there & got).sum() >= plan.recall * there.sum() and hits >= plan.recall * ranked.size:
+        if (there & got).sum() >= plan.recall * there.sum() and hits >= plan.far_recall * ranked.size:
             break
-        # comparing all of a shard costs less than walks with wide beams
-        width = 2 * width if 128 * width < n else n
+        width = min(2 * width, n)
     return width
 
 
+def sound(points: np.ndarray, plan: Plan, least: float) -> Graph:
+    """A graph whose own nodes are found with a beam of at most ``widest``, or the last of ``rebuilds`` attempts with twice the links each."""
+    graph = build(points, plan)
+    for _ in range(plan.rebuilds):
+        if len(points) <= plan.widest or audited(graph, points, plan, least) <= plan.widest:
+            break
+        plan = replace(plan, links=2 * plan.links, build_beam=2 * plan.build_beam)
+        graph = build(points, plan)
+    return graph
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -287,7 +322,7 @@ def _graph_bytes(pdf: pd.DataFrame, plan: Plan) -> bytes:
     # a random order, or the first nodes would be alike
     pdf = pdf.iloc[np.random.default_rng(plan.seed).permutation(len(pdf))]
     m = matrix(list(pdf["vec"]))
-    graph = build(unit(m).astype(np.float32), plan)
+    graph = sound(unit(m).astype(np.float32), plan, plan.similarity - SINGLE)
     layers = {f"layer{x}": layer.astype(np.int32) for x, layer in enumerate(graph.layers)}
     return _pack(node=pdf["node"].to_numpy(np.int64), copies=pdf["copies"].to_numpy(np.int64), vectors=m, **layers)
 
@@ -301,7 +336,7 @@ def _search(queries: pd.DataFrame, data: bytes, plan: Plan) -> pd.DataFrame:
     queries = queries.sort_values("node", ignore_index=True)
     own, m = queries["node"].to_numpy(np.int64), matrix(list(queries["vec"]))
     u = unit(m).astype(np.float32)
-    least = plan.similarity - 1e-5  # single precision walks, double precision decides
+    least = plan.similarity - SINGLE
     width = audited(graph, u, plan, least)
     links, a, b = np.zeros(len(own), np.int64), [own[:0]], [own[:0]]
     for q, found in near_nodes(graph, u, least, width):
