@@ -179,43 +179,6 @@ def test_isolated_links_across_shards_of_production_size():
     assert len(true) == 20 and true <= found
 
 
-def test_noise_goes_through_the_graph():
-    """Vectors without clusters: a beam far below the shard does, and links planted at the bound are found."""
-    rng = np.random.default_rng(8)
-    plan, dim = hnsw.Plan(), 64
-    unit = lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
-    points = unit(rng.normal(size=(plan.shard_rows, dim)))
-    queries = unit(rng.normal(size=(plan.query_rows, dim)))
-    side = rng.normal(size=(200, dim))
-    side -= (side * points[:200]).sum(axis=1, keepdims=True) * points[:200]
-    near = rng.uniform(0.9302, 0.94, 200)[:, None]
-    queries[:200] = near * points[:200] + np.sqrt(1 - near * near) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    graph = hnsw.sound(points, plan, 0.93 - hnsw.SINGLE)
-    assert graph.layers[0].shape[1] == 2 * plan.links  # the first graph was good enough
-    width = hnsw.audited(graph, queries, plan, 0.93 - hnsw.SINGLE)
-    assert width <= 256
-    found = {(int(a), int(b)) for q, t in hnsw.near_nodes(graph, queries, 0.93, width) for a, b in zip(q, t, strict=True)}
-    assert found == {(i, i) for i in range(200)}
-
-
-def test_a_poor_graph_is_built_anew():
-    rng = np.random.default_rng(9)
-    points = rng.normal(size=(1500, 48))
-    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
-    poor = hnsw.Plan(links=2, build_beam=4, widest=64)
-    assert hnsw.audited(hnsw.build(points, poor), points, poor, 0.93) > poor.widest
-    assert hnsw.sound(points, poor, 0.93).layers[0].shape[1] > 2 * poor.links
-
-
-def test_probes_lie_just_inside_the_bound():
-    rng = np.random.default_rng(4)
-    points = rng.normal(size=(300, 16))
-    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
-    best = (hnsw._probes(hnsw.build(points, hnsw.Plan()), hnsw.Plan(), 0.93) @ points.T).max(axis=1)
-    assert len(best) == 256 and (best >= 0.93).all() and np.median(best) < 0.931
-    assert (hnsw._probes(hnsw.build(np.ones((3, 1), np.float32), hnsw.Plan()), hnsw.Plan(), 0.93) == 1).all()
-
-
 def test_op1_over_its_table(spark):
     emb = read("embeddings")
     rows = [(int(k), v.tolist(), int(x)) for k, v, x in zip(emb["vec_id"], emb["embedding"], emb["label"], strict=True)]
