@@ -8,33 +8,45 @@ them). Running all programs on all rows would cost rows times rules, so each rul
 to match. Of an ``all`` the most selective part gives them, of an ``any`` every part does. Equality gives the field's value, a part of a text its
 rarest three letters among the rules, other operators only that the field is there, and what can match a missing field the one key of all rows.
 Rows meet their candidates by a join on keys; a candidate counts once its program says so. The first match that decides stands, else the last.
+
+``build`` compiles rules that the driver holds, ``build_table`` a table of rule documents by the tasks that read it.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logweir.functions.fields import Entry
 from logweir.functions.regex import InvalidPattern, java_pattern
 from logweir.functions.values import NAN_TEXT, NUMERIC_TEXT, literal_number, literal_text
 from logweir.operators.conditions import ALIASES
-from logweir.operators.model import Condition, Rule, in_order
+from logweir.operators.model import Condition, Rule, RuleError, in_order
 from logweir.operators.rules import KEEP, Options
-from logweir.session import materialise
+from logweir.session import materialise, ship
 
 COMPARISONS = ("eq", "ne", "gt", "lt", "ge", "le")
 PARTS = ("contains", "starts_with", "ends_with")
 GRAM = 3
+TAGS = 1 << 16
+SALTS = 16
 # How many rows a posting of each class lets through: values, parts of texts, fields that are there, all rows.
 VALUE, PART, PRESENT, EVERY = range(4)
 
 STEP = "struct<op:string,n:int,field:int,kind:string,text:string,num:double,nil:boolean>"
 PROGRAM = f"rank long, rule_id string, ends boolean, keep boolean, rate double, salt string, program array<{STEP}>"
 POSTING = "rank long, class int, field int, text string, num double"
+# A rule as its task compiles it: fields are numbered by each rule for itself.
+COMPILED = (
+    f"id string, ends boolean, keep boolean, rate double, salt string, program array<{STEP}>, "
+    "keys array<struct<class:int,field:int,text:string,num:double>>, fields array<string>, texts array<string>, error string"
+)
+COLUMNS = ("id", "ends", "keep", "rate", "salt", "program", "keys", "fields", "texts", "error")
 FACT = "struct<present:boolean,nil:boolean,text:string,plain:string,num:double>"
 
 
@@ -45,6 +57,8 @@ class RuleIndex:
     fields: dict[str, int]  # the fields that the rules name, by number
     parts: frozenset[int]  # fields of which some posting is a part of the text
     texts: frozenset[int]  # fields of which some step needs the full text
+    tags: DataFrame  # what the keys of postings look like: a bounded table
+    rejected: DataFrame | None = None  # documents of a rule table that are no decision rule: scope, body, error
 
 
 def kind_of(entry: Entry, field: str) -> str:
@@ -172,13 +186,117 @@ def build(spark: SparkSession, rules: list[Rule], like: DataFrame, options: Opti
     # a part of a text is looked for by those three of its letters that fewest other parts have
     shared = Counter(g for text in {k[3] for k in keys if k[1] == PART} for g in set(_grams(text)))
     postings = [(r, c, f, min(_grams(t), key=lambda g: (shared[g], g)) if c == PART else t, n) for r, c, f, t, n in keys]
+    stored = materialise(_keyed(spark.createDataFrame(postings, POSTING)).select("key", "rank").distinct(), "rule-postings")
     return RuleIndex(
         materialise(spark.createDataFrame(programs, PROGRAM), "rule-programs"),
-        materialise(_keyed(spark.createDataFrame(postings, POSTING)).select("key", "rank").distinct(), "rule-postings"),
+        stored,
         compiler.fields,
         frozenset(k[2] for k in keys if k[1] == PART),
         frozenset(compiler.texts),
+        tags(stored),
+    )
+
+
+def tags(postings: DataFrame) -> DataFrame:
+    return materialise(postings.select(_tag(F.col("key")).alias("tag")).distinct(), "rule-tags")
+
+
+def _tag(key: Column) -> Column:
+    """The class and field of a key, for parts of texts one of ``TAGS`` hashes: a row's key without a like tag meets no posting."""
+    return F.when(key.startswith(f"{PART}:"), F.pmod(F.xxhash64(key), F.lit(TAGS)).cast("string")).otherwise(F.substring_index(key, ":", 2))
+
+
+# what a document can have wrong
+UNUSABLE = (RuleError, ValueError, AttributeError, TypeError)
+
+
+def without_effect(entry: Entry, rule_id: str | None, error: str | None = None) -> tuple:
+    """The ``COLUMNS`` of a rule that never holds."""
+    return (rule_id, None, None, None, None, [_Compiler(entry).step("any", 0)], [], [], [], error)
+
+
+def compiled(entry: Entry, rule: Rule, decision: tuple) -> tuple:
+    """The ``COLUMNS`` of a rule."""
+    compiler = _Compiler(entry)
+    program, keys = compiler.program(rule.condition), sorted(set(compiler.access(rule.condition)[1]), key=repr)
+    names = list(compiler.fields)
+    return (rule.id, *decision, program, keys, names, [names[i] for i in sorted(compiler.texts)], None)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over all tasks by the columns, however few files hold them: compiling a document costs far more than moving it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def numbered(made: DataFrame, by: str) -> tuple[DataFrame, tuple[DataFrame, dict[str, int], frozenset[int], frozenset[int], DataFrame]]:
+    """``COLUMNS`` with one numbering of all fields, and what a ``RuleIndex`` holds beside programs, its postings by ``by``.
+
+    Only the names of the fields that rules read come to the driver.
+    """
+    named = [r[0] for r in made.select(F.explode("fields").alias("f")).distinct().orderBy("f").collect()]
+    number = {name: i for i, name in enumerate(named)}
+    texts = frozenset(number[r[0]] for r in made.select(F.explode("texts").alias("f")).distinct().collect())
+    numbers = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*map(F.lit, range(len(named))))) if named else F.create_map(F.lit(""), F.lit(0))
+    made = made.withColumn("_fields", F.transform("fields", lambda f: F.element_at(numbers, f)))
+    program = F.transform("program", lambda s: s.withField("field", F.when(s["field"].isNotNull(), F.get(F.col("_fields"), s["field"]))))
+    keys = made.select(by, F.explode("keys").alias("k"), "_fields").select(
+        by, F.col("k.class").alias("class"), F.when(F.col("k.field").isNotNull(), F.get("_fields", F.col("k.field"))).alias("field"), F.col("k.text").alias("text"), F.col("k.num").alias("num")
     )
+    part = F.col("class") == PART
+    # a part of a text is looked for by those three of its letters that fewest other parts have
+    spots = F.sequence(F.lit(1), F.char_length("text") - GRAM + 1)
+    grams = keys.filter(part).select("text").distinct().withColumn("gram", F.explode(F.array_distinct(F.transform(spots, lambda i: F.substr(F.col("text"), i, F.lit(GRAM))))))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(shared, "gram").groupBy("text").agg(F.min(F.struct("n", "gram")).alias("r")).select("text", F.col("r.gram").alias("gram"))
+    whole = keys.filter(~part).unionByName(keys.filter(part).join(rarest, "text").select(by, "class", "field", F.col("gram").alias("text"), "num"))
+    postings = materialise(_keyed(whole).select("key", by).distinct(), "rule-postings")
+    parts = frozenset(r[0] for r in keys.filter(part).select("field").distinct().collect())
+    return made.withColumn("program", program).drop("_fields"), (postings, number, parts, texts, tags(postings))
+
+
+def _compile(entry: Entry, seed: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for scope, body, place in frame.itertuples(index=False):
+                row = (scope, body, place)
+                try:
+                    rule = Rule.parse(body, scope=scope or "")
+                    rule.id.encode()  # rules are told apart and ordered by it
+                except UNUSABLE as error:
+                    out.append((*row, *without_effect(entry, None, str(error))))
+                    continue
+                try:
+                    decision = _decision(rule, seed) if rule.enabled else None
+                except UNUSABLE as error:
+                    out.append((*row, *without_effect(entry, rule.id, str(error))))
+                    continue
+                out.append((*row, *(without_effect(entry, rule.id) if decision is None else compiled(entry, rule, decision))))
+            yield pd.DataFrame(out, columns=["scope", "body", "_place", *COLUMNS])
+
+    return run
+
+
+def build_table(store: DataFrame, like: DataFrame, options: Options = Options()) -> RuleIndex:
+    """``build`` for a rule table (``schemas.RULE_STORE``) of any size: documents are compiled by the tasks that read them.
+
+    Rules are ranked by scope and id; of two with one key the later row stands. Documents that can't be used have no effect, ``rejected`` lists them.
+    """
+    if options.operators or options.handlers or options.compat:
+        raise ValueError("an index holds the built-in operators and decisions only")
+    spark = store.sparkSession
+    ship(spark)
+    rows = store.select("scope", "body", F.monotonically_increasing_id().alias("_place"))
+    made = spread(rows, "_place").mapInPandas(_compile(Entry.of(like, options.fields, options.shadow), options.seed), f"scope string, body string, _place long, {COMPILED}")
+    made = materialise(made, "rules-compiled")
+    rank = F.struct(F.coalesce("scope", F.lit("")).alias("scope"), "id").alias("rank")
+    rules = made.filter("id is not null").select(rank, "_place", F.struct(*COLUMNS).alias("r"))
+    last = rules.groupBy("rank").agg(F.max("_place").alias("_place"))
+    # rules that are disabled, unusable or do nothing have no decision
+    held = rules.join(last.hint("merge"), ["rank", "_place"], "left_semi").filter("r.ends is not null").select("rank", "r.*")
+    programs, rest = numbered(held, "rank")
+    programs = materialise(programs.select("rank", F.col("id").alias("rule_id"), "ends", "keep", "rate", "salt", "program"), "rule-programs")
+    return RuleIndex(programs, *rest, made.filter("error is not null").select("scope", "body", "error"))
 
 
 def _key(kind: int, field: Column | int | None, text: Column, letter: str = "") -> Column:
@@ -293,12 +411,23 @@ def _sealed(df: DataFrame, index: RuleIndex, options: Options) -> DataFrame:
     return out.withColumns({"_one": F.xxhash64(F.lit(1), "_row", "_facts"), "_two": F.xxhash64(F.lit(2), "_facts", "_row")})
 
 
+def candidates(rows: DataFrame, index: RuleIndex, *keep: str) -> DataFrame:
+    """``keep`` of sealed rows with every posting that one of their keys meets."""
+    asked = rows.select(*keep, F.explode(_row_keys(index, F.col("_facts"))).alias("key"))
+    asked = asked.withColumn("tag", _tag(F.col("key"))).join(F.broadcast(index.tags), "tag", "left_semi").drop("tag")
+    # keys other than values are those of very many rows, so their postings are there once per salt
+    value = F.col("key").startswith(f"{VALUE}:")
+    asked = asked.withColumn("_salt", F.when(value, 0).otherwise(F.pmod("_one", F.lit(SALTS))).cast("int"))
+    postings = index.postings.withColumn("_salt", F.explode(F.when(value, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    # small as files, but many times that in memory: rule tables are never broadcast
+    return asked.join(postings.hint("merge"), ["key", "_salt"]).drop("key", "_salt").distinct()
+
+
 def matches(df: DataFrame, index: RuleIndex, options: Options = Options()) -> DataFrame:
     """A row for each distinct row (``_one``, ``_two``) and rule that matches it: rank, rule_id, ends, keep."""
     rows = _sealed(df, index, options).select("_one", "_two", "_row", "_facts").dropDuplicates(["_one", "_two"])
-    asked = rows.select("_one", "_two", F.explode(_row_keys(index, F.col("_facts"))).alias("key"))
-    candidates = asked.join(index.postings, "key").select("_one", "_two", "rank").distinct()
-    met = candidates.join(rows, ["_one", "_two"]).join(index.programs, "rank").filter(run_program(F.col("program"), F.col("_facts")))
+    asked = candidates(rows, index, "_one", "_two")
+    met = asked.join(rows, ["_one", "_two"]).join(index.programs.hint("merge"), "rank").filter(run_program(F.col("program"), F.col("_facts")))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "_row", "salt")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return met.select("_one", "_two", "rank", "rule_id", "ends", F.when(F.col("rate").isNull(), F.col("keep")).otherwise(drawn < F.col("rate")).alias("keep"))
 

@@ -16,7 +16,7 @@ from logweir.functions.fields import Entry
 from logweir.functions.values import Value
 from logweir.operators import rule_index as X
 from logweir.operators.asof import as_of
-from logweir.operators.model import Condition, Rule, RuleError
+from logweir.operators.model import Condition, Rule
 from logweir.operators.rules import KEEP, Options, apply_rules
 from logweir.session import materialise, ship
 
@@ -110,10 +110,7 @@ def apply_as_of(
 
 # ---- any number of versions ----
 
-_COMPILED = (
-    "rule_id string, version long, created_at timestamp, id string, ends boolean, keep boolean, rate double, salt string, "
-    f"program array<{X.STEP}>, keys array<struct<class:int,field:int,text:string,num:double>>, fields array<string>, texts array<string>, error string"
-)
+_COMPILED = f"rule_id string, version long, created_at timestamp, {X.COMPILED}"
 
 
 @dataclass(frozen=True)
@@ -129,30 +126,23 @@ def _compile(entry: Entry, seed: int):
             out = []
             for rule_id, version, start, content in frame.itertuples(index=False):
                 start = None if pd.isna(start) else start.to_pydatetime()
-                compiler = X._Compiler(entry)
-                never = [compiler.step("any", 0)]
                 row = (rule_id, version, start)
                 try:
                     rule = Rule.parse(content)
                     # the version in force tells itself from the others by its start
                     decision = X._decision(replace(rule, id=f"{rule.id}!{start or ''}"), seed)
-                except (RuleError, ValueError, AttributeError, TypeError) as error:
-                    out.append((*row, None, None, None, None, None, never, [], [], [], str(error)))
+                except X.UNUSABLE as error:
+                    out.append((*row, *X.without_effect(entry, None, str(error))))
                     continue
                 if not rule.enabled or decision is None:  # in force, but without effect
-                    out.append((*row, rule.id, None, None, None, None, never, [], [], [], None))
+                    out.append((*row, *X.without_effect(entry, rule.id)))
                     continue
-                program, keys = compiler.program(rule.condition), sorted(set(compiler.access(rule.condition)[1]), key=repr)
-                names = list(compiler.fields)
-                out.append((*row, rule.id, *decision, program, keys, names, [names[i] for i in sorted(compiler.texts)], None))
-            yield pd.DataFrame(out, columns=list(_TOP))
+                out.append((*row, *X.compiled(entry, rule, decision)))
+            yield pd.DataFrame(out, columns=["rule_id", "version", "created_at", *X.COLUMNS])
 
     return run
 
 
-_TOP = ("rule_id", "version", "created_at", "id", "ends", "keep", "rate", "salt", "program", "keys", "fields", "texts", "error")
-
-
 def index_versions(versions: DataFrame, like: DataFrame, options: Options = Options()) -> VersionIndex:
     """All versions of a version table (``schemas.RULE_VERSION``) of decision rules as programs and postings.
 
@@ -164,28 +154,9 @@ def index_versions(versions: DataFrame, like: DataFrame, options: Options = Opti
     entry = Entry.of(like, options.fields, options.shadow)
     rows = versions.select("rule_id", "version", F.col("created_at").cast("timestamp").alias("created_at"), "content")
     made = materialise(rows.mapInPandas(_compile(entry, options.seed), _COMPILED), "rule-versions")
-    named = [r[0] for r in made.select(F.explode("fields").alias("f")).distinct().orderBy("f").collect()]
-    number = {name: i for i, name in enumerate(named)}
-    texts = frozenset(number[r[0]] for r in made.select(F.explode("texts").alias("f")).distinct().collect())
-    # fields are numbered by each version for itself, so far
-    numbers = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*map(F.lit, range(len(named))))) if named else F.create_map(F.lit(""), F.lit(0))
-    fields = F.transform("fields", lambda f: F.element_at(numbers, f))
-    made = made.withColumn("_fields", fields)
-    program = F.transform("program", lambda s: s.withField("field", F.when(s["field"].isNotNull(), F.get(F.col("_fields"), s["field"]))))
-    keys = made.select("rule_id", F.explode("keys").alias("k"), "_fields").select(
-        "rule_id", F.col("k.class").alias("class"), F.when(F.col("k.field").isNotNull(), F.get("_fields", F.col("k.field"))).alias("field"), F.col("k.text").alias("text"), F.col("k.num").alias("num")
-    )
-    part = F.col("class") == X.PART
-    # a part of a text is looked for by those three of its letters that fewest other parts have
-    spots = F.sequence(F.lit(1), F.char_length("text") - X.GRAM + 1)
-    grams = keys.filter(part).select("text").distinct().withColumn("gram", F.explode(F.array_distinct(F.transform(spots, lambda i: F.substr(F.col("text"), i, F.lit(X.GRAM))))))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = grams.join(shared, "gram").groupBy("text").agg(F.min(F.struct("n", "gram")).alias("r")).select("text", F.col("r.gram").alias("gram"))
-    whole = keys.filter(~part).unionByName(keys.filter(part).join(rarest, "text").select("rule_id", "class", "field", F.col("gram").alias("text"), "num"))
-    postings = materialise(X._keyed(whole).select("key", "rule_id").distinct(), "rule-postings")
-    parts = frozenset(r[0] for r in keys.filter(part).select("field").distinct().collect())
-    programs = materialise(made.select("rule_id", "version", "created_at", "id", "ends", "keep", "rate", "salt", program.alias("program")), "rule-programs")
-    return VersionIndex(X.RuleIndex(programs, postings, number, parts, texts), programs, made.filter("error is not null").select("rule_id", "version", "error"))
+    made, rest = X.numbered(made, "rule_id")
+    programs = materialise(made.select("rule_id", "version", "created_at", "id", "ends", "keep", "rate", "salt", "program"), "rule-programs")
+    return VersionIndex(X.RuleIndex(programs, *rest), programs, made.filter("error is not null").select("rule_id", "version", "error"))
 
 
 def apply_versions(df: DataFrame, versions: VersionIndex, options: Options = Options(), *, time: str = "timestamp", drop: bool = True) -> DataFrame:
@@ -202,12 +173,11 @@ def apply_versions(df: DataFrame, versions: VersionIndex, options: Options = Opt
         return out.withColumns({"_one": F.xxhash64("_one", "_time"), "_two": F.xxhash64(F.lit(3), "_two", "_time")})
 
     rows = sealed().select("_one", "_two", "_row", "_time", "_facts").dropDuplicates(["_one", "_two"])
-    asked = rows.select("_one", "_two", "_time", F.explode(X._row_keys(index, F.col("_facts"))).alias("key"))
-    candidates = asked.join(index.postings, "key").select("_one", "_two", "_time", "rule_id").distinct()
+    candidates = X.candidates(rows, index, "_one", "_two", "_time")
     starts = versions.versions.select("rule_id", "version", "created_at")
     met = as_of(candidates, starts, ["rule_id"], F.col("_time"), F.col("created_at"), ["version"])
     met = met.filter("value is not null").select("_one", "_two", "rule_id", F.col("value.version").alias("version"), F.col("value.created_at").alias("created_at"))
-    met = met.join(versions.versions, ["rule_id", "version", "created_at"]).join(rows, ["_one", "_two"]).filter(X.run_program(F.col("program"), F.col("_facts")))
+    met = met.join(versions.versions.hint("merge"), ["rule_id", "version", "created_at"]).join(rows, ["_one", "_two"]).filter(X.run_program(F.col("program"), F.col("_facts")))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "_row", "salt")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     choice = F.struct("id", "version", F.when(F.col("rate").isNull(), F.col("keep")).otherwise(drawn < F.col("rate")).alias("keep"))
     decided = met.groupBy("_one", "_two").agg(F.min(F.when(F.col("ends"), choice)).alias("_first"), F.max(F.when(~F.col("ends"), choice)).alias("_last"))

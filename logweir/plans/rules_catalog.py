@@ -459,7 +459,7 @@ def rules_indexed(spark, folder):
     part = F.concat(F.lit(" from 10.0."), (10 * F.col("n_nationkey")).cast("string"), F.lit("."))
     keeps = nations.select("id", F.lit("").alias("scope"), body("keep", ("message", "contains", part), ("level", "eq", F.lit("ERROR"))))
     logs = views.logs(spark, folder)
-    index = X.build(spark, stores.load_rules(drops.unionByName(keeps)), logs)
+    index = X.build_table(stores.documents(drops.unionByName(keeps)), logs)
     return X.apply_index(logs, index).select("id", "message")
 
 

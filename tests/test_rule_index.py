@@ -10,7 +10,7 @@ from logweir.operators import rule_index
 from logweir.operators.model import Rule
 from logweir.operators.rules import Options, apply_rules
 from logweir.schemas import DYNAMIC
-from logweir.sources import views
+from logweir.sources import stores, views
 
 FOLDER = "/root/testdata/sf0.001"
 FIELDS = ["level", "service", "message", "duration_ms", "line_number", "k", "fields.k", "user_id", "missing", "k.deeper", "odd", "flag"]
@@ -116,3 +116,27 @@ def test_what_an_index_does_not_hold(spark, logs):
         rule_index.build(spark, [], logs, Options(compat=True))
     none = rule_index.build(spark, [], logs)
     assert rule_index.apply_index(logs, none).count() == logs.count()
+
+
+def test_a_rule_table_is_compiled_by_the_tasks(spark, logs, monkeypatch):
+    """Of two rules with one key the later row stands, also if it is disabled; no rule comes to the driver."""
+    rules = [*some_rules(12, 77), *some_rules(12, 78)]
+    docs = [(r.id, f"s{i % 3}", json.dumps(r.to_doc())) for i, r in enumerate(rules)]
+    docs += [(d[0], d[1], json.dumps(json.loads(d[2]) | {"enabled": i % 2 == 0, "actions": [{"type": "keep"}]})) for i, d in enumerate(docs[:6])]
+    docs += [("x", None, '{"id":5,"enabled":true}'), ("m", None, '{"id":"m","enabled":true,"condition":{"field":"level","operator":"exists"},"actions":[{"type":"mark"}]}')]
+    store = spark.createDataFrame(docs, "id string, scope string, body string").coalesce(1)
+    usable = stores.load_rules(store.filter("id not in ('x', 'm')"))
+    monkeypatch.setattr(rule_index, "in_order", None)
+    index = rule_index.build_table(stores.documents(store), logs)
+    assert {json.loads(r.body)["id"] for r in index.rejected.collect()} == {5, "m"}
+    assert kept(rule_index.apply_index(logs, index, drop=False)) == kept(apply_rules(logs, usable, drop=False))
+    none = rule_index.build_table(stores.documents(store.limit(0)), logs)
+    assert rule_index.apply_index(logs, none).count() == logs.count()
+
+
+def test_the_query_holds_no_rule_in_the_driver(spark, monkeypatch):
+    from logweir.plans import rules_catalog
+
+    monkeypatch.setattr(rule_index, "build", None)
+    monkeypatch.setattr(stores, "load_rules", None)
+    assert rules_catalog.rules_indexed(spark, FOLDER).count() > 0
