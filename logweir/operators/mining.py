@@ -126,7 +126,7 @@ def anomalies(
     if baseline is None:
         return current
     unseen = new_groups(current, baseline, message=message, order=order)
-    return salted_join(with_key(current, message), unseen.select("_key"), "_key", "left_semi", list(order)).drop("_key")
+    return salted_join(with_key(current, message), unseen.select("_key", "frequency"), "_key", "left_semi", list(order), "frequency").drop("_key")
 
 
 def new_groups(current: DataFrame, baseline: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
@@ -161,8 +161,8 @@ def clusters(df: DataFrame, *, message: str = "message", order: tuple[str, ...]
 def cluster_members(df: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
     """Every row with the id of its cluster: members stay rows, a cluster is never one value."""
     large = counted(groups(df, message=message, order=order)).filter("total >= 2")
-    named = large.select("_key", pattern_id(F.col("pattern")).alias("cluster_id"))
-    return salted_join(with_key(df, message), named, "_key", "inner", list(order)).drop("_key")
+    named = large.select("_key", pattern_id(F.col("pattern")).alias("cluster_id"), F.col("frequency").alias("_count"))
+    return salted_join(with_key(df, message), named, "_key", "inner", list(order), "_count").drop("_key")
 
 
 def recommend_rules(patterns: DataFrame, min_frequency: int = 10) -> DataFrame:
@@ -211,9 +211,9 @@ def as_rules(recommended: DataFrame, limit: int = 1000) -> list[Rule]:
 
 def mark_rows(df: DataFrame, recommended: DataFrame, *, message: str = "message", order: tuple[str, ...] = ("timestamp", "id"), tag: str = "tag") -> DataFrame:
     """All rows, those of a recommended pattern with its id in ``tag``. Any number of recommendations: they are joined, not compiled."""
-    own = groups(df, message=message, order=order).select("_key", pattern_id(F.col("pattern")).alias("pattern_id"))
+    own = groups(df, message=message, order=order).select("_key", pattern_id(F.col("pattern")).alias("pattern_id"), F.col("frequency").alias("_count"))
     named = own.join(recommended.select("pattern_id"), "pattern_id", "left_semi").withColumnRenamed("pattern_id", tag)
-    return salted_join(with_key(df, message), named, "_key", "left", list(order)).drop("_key")
+    return salted_join(with_key(df, message), named, "_key", "left", list(order), "_count").drop("_key")
 
 
 # ---- templates that outlive a run ----
