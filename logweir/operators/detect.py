@@ -21,6 +21,7 @@ ACCESS_COMBINED = r'^\S+\s+\S+\s+\S+\s+\[[^\]]+\]\s+"[A-Z]+\s+\S+\s+\S+"\s+\d{3}
 COMMON_KEYS = ("timestamp", "level", "message", "service", "trace_id")
 PLAIN_MARKS = (r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"\d{2}:\d{2}:\d{2}", r"\[.*?\]")
 TIMESTAMP_MARKS = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}:\d{2}:\d{2}"
+FIVE_WORDS = rf"\A[{W.SPACE}]*+(?:[^{W.SPACE}]++[{W.SPACE}]++){{4}}[^{W.SPACE}]"
 LEVEL_MARKS = "DEBUG|INFO|WARN|ERROR|FATAL|TRACE|CRITICAL|SUCCESS"
 
 
@@ -81,14 +82,19 @@ def with_detection(df: DataFrame, raw: str, custom: list[tuple[str, Column]] | N
 
 def unstructured_score(raw: Column) -> Column:
     """How much a line looks like free text, 0 to 1; null for JSON, list or markup shapes and below 0.5."""
+    # only what opens with a bracket is looked at as a whole
+    opens = raw.rlike(f"\\A[{W.SPACE}]*+[{{\\[<]")
     trimmed = W.trim_space(raw)
-    shaped = trimmed.rlike(r"(?s)^(?:\{.*\}|\[.*\]|<.*>)\z") | trimmed.isin("{}", "[]")
-    text_ratio = F.regexp_count(raw, F.lit(f"[\\p{{L}}{W.SPACE}]")) / F.octet_length(raw)
+    shaped = opens & (trimmed.rlike(r"(?s)^(?:\{.*\}|\[.*\]|<.*>)\z") | trimmed.isin("{}", "[]"))
+    # letters and spaces are counted by what is left without the rest: a list of matches would hold every character
+    plain = F.regexp_replace(raw, r"[^a-zA-Z\s]++", "")
+    wide = F.regexp_replace(raw, f"[^\\p{{L}}{W.SPACE}]++", "")
+    text_ratio = F.char_length(F.when(W.is_ascii(raw), plain).otherwise(wide)) / F.octet_length(raw)
     marks = sum((raw.rlike(p).cast("int") for p in PLAIN_MARKS), F.lit(0)) / F.lit(3.0)
     nonempty = F.octet_length(raw) > 0
     score = (
         F.when(nonempty & (text_ratio >= 0.7), 0.3).otherwise(0.0)
-        + F.when(W.word_count(raw) >= 5, 0.2).otherwise(0.0)
+        + F.when(raw.rlike(FIVE_WORDS), 0.2).otherwise(0.0)
         + F.when(marks <= 0.3, 0.2).otherwise(0.0)
         + F.when(~raw.rlike(TIMESTAMP_MARKS), 0.15).otherwise(0.0)
         + F.when(~F.upper(raw).rlike(LEVEL_MARKS), 0.15).otherwise(0.0)
