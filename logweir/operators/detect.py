@@ -100,7 +100,8 @@ def unstructured_score(raw: Column) -> Column:
         + F.when(~F.upper(raw).rlike(LEVEL_MARKS), 0.15).otherwise(0.0)
     )
     # the sum is in steps of 0.05; rounding keeps the 0.5 bound free of float error
-    return F.when(~shaped & (F.round(score, 2) >= 0.5), F.round(score, 2))
+    # as a list, so that the sum is worked out once
+    return F.when(~shaped, F.get(F.filter(F.array(F.round(score, 2)), lambda s: s >= 0.5), F.lit(0)))
 
 
 def detect_formats(df: DataFrame, raw: str = "raw", custom: list[tuple[str, Column]] | None = None) -> DataFrame:
