@@ -81,12 +81,15 @@ def literal_text(value) -> str:
     return str(value)
 
 
+_NUMBER = re.compile(NUMERIC_TEXT.replace(r"\z", r"\Z") + "|" + NAN_TEXT[4:].replace(r"\z", r"\Z").replace("nan", "(?i:nan)"))
+
+
 def literal_number(value) -> float | None:
     if isinstance(value, bool) or value is None:
         return None
     if isinstance(value, (int, float)):
         return float(value)
-    if isinstance(value, str) and re.match(NUMERIC_TEXT.replace(r"\z", r"\Z") + "|" + NAN_TEXT[4:].replace(r"\z", r"\Z").replace("nan", "(?i:nan)"), value):
+    if isinstance(value, str) and _NUMBER.match(value):
         return float(value)
     return None
 

@@ -36,13 +36,14 @@ class Condition:
     @classmethod
     def parse(cls, doc: dict | None) -> Condition:
         doc = doc or {}
+        every, some, negated = doc.get("all"), doc.get("any"), doc.get("not")
         return cls(
-            field=doc.get("field") or "",
-            operator=doc.get("operator") or "",
-            value=doc.get("value"),
-            all=tuple(cls.parse(c) for c in doc.get("all") or ()),
-            any=tuple(cls.parse(c) for c in doc.get("any") or ()),
-            negated=cls.parse(doc["not"]) if doc.get("not") is not None else None,
+            doc.get("field") or "",
+            doc.get("operator") or "",
+            doc.get("value"),
+            tuple(map(cls.parse, every)) if every else (),
+            tuple(map(cls.parse, some)) if some else (),
+            None if negated is None else cls.parse(negated),
         )
 
     def to_doc(self) -> dict:

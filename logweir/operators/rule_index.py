@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logweir.functions.fields import Entry
@@ -47,6 +47,9 @@ COMPILED = (
     "keys array<struct<class:int,field:int,text:string,num:double>>, fields array<string>, texts array<string>, error string"
 )
 COLUMNS = ("id", "ends", "keep", "rate", "salt", "program", "keys", "fields", "texts", "error")
+_STEPS = pa.list_(pa.struct({"op": pa.string(), "n": pa.int32(), "field": pa.int32(), "kind": pa.string(), "text": pa.string(), "num": pa.float64(), "nil": pa.bool_()}))
+_KEYS = pa.list_(pa.struct({"class": pa.int32(), "field": pa.int32(), "text": pa.string(), "num": pa.float64()}))
+ARROW = (pa.string(), pa.bool_(), pa.bool_(), pa.float64(), pa.string(), _STEPS, _KEYS, pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
 FACT = "struct<present:boolean,nil:boolean,text:string,plain:string,num:double>"
 
 
@@ -58,6 +61,7 @@ class RuleIndex:
     parts: frozenset[int]  # fields of which some posting is a part of the text
     texts: frozenset[int]  # fields of which some step needs the full text
     tags: DataFrame  # what the keys of postings look like: a bounded table
+    kinds: frozenset[str]  # those tags of which the driver knows all: classes and fields, not parts of texts
     rejected: DataFrame | None = None  # documents of a rule table that are no decision rule: scope, body, error
 
 
@@ -71,11 +75,11 @@ def kind_of(entry: Entry, field: str) -> str:
 
 
 class _Compiler:
-    def __init__(self, entry: Entry) -> None:
+    def __init__(self, entry: Entry, kinds: dict[str, str] | None = None) -> None:
         self.entry = entry
         self.fields: dict[str, int] = {}
         self.texts: set[int] = set()
-        self.kinds: dict[str, str] = {}
+        self.kinds = {} if kinds is None else kinds  # rules of one task share what they know of fields
 
     def kind(self, field: str) -> str:
         """Whether the field's values are numbers always, never, or where their text reads like one."""
@@ -146,7 +150,7 @@ class _Compiler:
             return present if math.isnan(wanted) else (VALUE, [(VALUE, field, None, wanted), (VALUE, field, None, math.nan)])
         if op in PARTS and isinstance(value, str) and len(value) >= GRAM:
             return PART, [(PART, field, value, None)]
-        if op in PARTS and not isinstance(value, str) or [s[0] for s in self.program(cond)] == ["fault"]:
+        if op in PARTS and not isinstance(value, str) or op not in COMPARISONS and [s[0] for s in self.program(cond)] == ["fault"]:
             return VALUE, []
         return present
 
@@ -155,8 +159,8 @@ def _grams(text: str) -> list[str]:
     return [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
 
 
-def _decision(rule: Rule, seed: int) -> tuple[bool, bool | None, float | None, str] | None:
-    """Whether the rule ends the evaluation, its decision, and for a sample the rate and what its hash is salted with."""
+def _decision(rule: Rule, seed: int, start: Callable[[], str] = str) -> tuple[bool, bool | None, float | None, str] | None:
+    """Whether the rule ends the evaluation, its decision, and for a sample the rate and what its hash is salted with: the id, the start of a version, the seed."""
     keep, rate, salt = None, None, ""
     for j, action in enumerate(rule.actions):
         if action.type in ("keep", "drop"):
@@ -164,7 +168,7 @@ def _decision(rule: Rule, seed: int) -> tuple[bool, bool | None, float | None, s
         if action.type != "sample":
             raise ValueError(f"rule {rule.id}: {action.type} is no decision")
         rate = float(action.number("rate", 1.0))
-        salt = f"{rule.id}:{seed}" if j == 0 else f"{rule.id}:{seed}:{j}"
+        salt = f"{rule.id}{start()}:{seed}" if j == 0 else f"{rule.id}{start()}:{seed}:{j}"
     return None if rate is None else (False, keep, rate, salt)
 
 
@@ -193,12 +197,13 @@ def build(spark: SparkSession, rules: list[Rule], like: DataFrame, options: Opti
         compiler.fields,
         frozenset(k[2] for k in keys if k[1] == PART),
         frozenset(compiler.texts),
-        tags(stored),
+        *tags(stored),
     )
 
 
-def tags(postings: DataFrame) -> DataFrame:
-    return materialise(postings.select(_tag(F.col("key")).alias("tag")).distinct(), "rule-tags")
+def tags(postings: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+    found = materialise(postings.select(_tag(F.col("key")).alias("tag")).distinct(), "rule-tags")
+    return found, frozenset(r[0] for r in found.filter(F.contains("tag", F.lit(":"))).collect())
 
 
 def _tag(key: Column) -> Column:
@@ -215,31 +220,47 @@ def without_effect(entry: Entry, rule_id: str | None, error: str | None = None)
     return (rule_id, None, None, None, None, [_Compiler(entry).step("any", 0)], [], [], [], error)
 
 
-def compiled(entry: Entry, rule: Rule, decision: tuple) -> tuple:
+def compiled(entry: Entry, rule: Rule, decision: tuple, kinds: dict[str, str]) -> tuple:
     """The ``COLUMNS`` of a rule."""
-    compiler = _Compiler(entry)
-    program, keys = compiler.program(rule.condition), sorted(set(compiler.access(rule.condition)[1]), key=repr)
+    compiler = _Compiler(entry, kinds)
+    program, keys = compiler.program(rule.condition), compiler.access(rule.condition)[1]
+    if len(keys) > 1:
+        keys = sorted(set(keys), key=repr)
     names = list(compiler.fields)
     return (rule.id, *decision, program, keys, names, [names[i] for i in sorted(compiler.texts)], None)
 
 
+def batch(beside: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    """``COLUMNS`` of one rule after the other, behind the columns of ``beside``."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(ARROW)
+    return pa.RecordBatch.from_arrays([*beside.columns, *(pa.array(c, t) for c, t in zip(columns, ARROW, strict=True))], [*beside.schema.names, *COLUMNS])
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Rows dealt over all tasks by the columns, however few files hold them: compiling a document costs far more than moving it."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def numbered(made: DataFrame, by: str) -> tuple[DataFrame, tuple[DataFrame, dict[str, int], frozenset[int], frozenset[int], DataFrame]]:
-    """``COLUMNS`` with one numbering of all fields, and what a ``RuleIndex`` holds beside programs, its postings by ``by``.
+def _numbers(fields: dict[str, int]) -> Column:
+    """The numbers of a compiled rule's ``fields``."""
+    numbers = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*map(F.lit, fields.values()))) if fields else F.create_map(F.lit(""), F.lit(0))
+    return F.transform("fields", lambda f: F.element_at(numbers, f))
+
+
+def numbered(fields: dict[str, int]) -> Column:
+    """The ``program`` of a compiled rule with the numbers that all rules give the fields."""
+    return F.transform("program", lambda s: s.withField("field", F.when(s["field"].isNotNull(), F.get(_numbers(fields), s["field"]))))
+
+
+def posted(made: DataFrame, by: str) -> tuple[DataFrame, dict[str, int], frozenset[int], frozenset[int], DataFrame, frozenset[str]]:
+    """What a ``RuleIndex`` of ``COLUMNS`` holds beside programs: one numbering of all fields, and postings by ``by``.
 
     Only the names of the fields that rules read come to the driver.
     """
     named = [r[0] for r in made.select(F.explode("fields").alias("f")).distinct().orderBy("f").collect()]
     number = {name: i for i, name in enumerate(named)}
     texts = frozenset(number[r[0]] for r in made.select(F.explode("texts").alias("f")).distinct().collect())
-    numbers = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*map(F.lit, range(len(named))))) if named else F.create_map(F.lit(""), F.lit(0))
-    made = made.withColumn("_fields", F.transform("fields", lambda f: F.element_at(numbers, f)))
-    program = F.transform("program", lambda s: s.withField("field", F.when(s["field"].isNotNull(), F.get(F.col("_fields"), s["field"]))))
-    keys = made.select(by, F.explode("keys").alias("k"), "_fields").select(
+    keys = made.select(by, F.explode("keys").alias("k"), _numbers(number).alias("_fields")).select(
         by, F.col("k.class").alias("class"), F.when(F.col("k.field").isNotNull(), F.get("_fields", F.col("k.field"))).alias("field"), F.col("k.text").alias("text"), F.col("k.num").alias("num")
     )
     part = F.col("class") == PART
@@ -251,28 +272,28 @@ def numbered(made: DataFrame, by: str) -> tuple[DataFrame, tuple[DataFrame, dict
     whole = keys.filter(~part).unionByName(keys.filter(part).join(rarest, "text").select(by, "class", "field", F.col("gram").alias("text"), "num"))
     postings = materialise(_keyed(whole).select("key", by).distinct(), "rule-postings")
     parts = frozenset(r[0] for r in keys.filter(part).select("field").distinct().collect())
-    return made.withColumn("program", program).drop("_fields"), (postings, number, parts, texts, tags(postings))
+    return postings, number, parts, texts, *tags(postings)
 
 
 def _compile(entry: Entry, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[str, str] = {}
+        for rows in batches:
             out = []
-            for scope, body, place in frame.itertuples(index=False):
-                row = (scope, body, place)
+            for scope, body in zip(rows["scope"].to_pylist(), rows["body"].to_pylist(), strict=True):
                 try:
                     rule = Rule.parse(body, scope=scope or "")
                     rule.id.encode()  # rules are told apart and ordered by it
                 except UNUSABLE as error:
-                    out.append((*row, *without_effect(entry, None, str(error))))
+                    out.append(without_effect(entry, None, str(error)))
                     continue
                 try:
                     decision = _decision(rule, seed) if rule.enabled else None
                 except UNUSABLE as error:
-                    out.append((*row, *without_effect(entry, rule.id, str(error))))
+                    out.append(without_effect(entry, rule.id, str(error)))
                     continue
-                out.append((*row, *(without_effect(entry, rule.id) if decision is None else compiled(entry, rule, decision))))
-            yield pd.DataFrame(out, columns=["scope", "body", "_place", *COLUMNS])
+                out.append(without_effect(entry, rule.id) if decision is None else compiled(entry, rule, decision, kinds))
+            yield batch(rows, out)
 
     return run
 
@@ -287,15 +308,15 @@ def build_table(store: DataFrame, like: DataFrame, options: Options = Options())
     spark = store.sparkSession
     ship(spark)
     rows = store.select("scope", "body", F.monotonically_increasing_id().alias("_place"))
-    made = spread(rows, "_place").mapInPandas(_compile(Entry.of(like, options.fields, options.shadow), options.seed), f"scope string, body string, _place long, {COMPILED}")
+    made = spread(rows, "_place").mapInArrow(_compile(Entry.of(like, options.fields, options.shadow), options.seed), f"scope string, body string, _place long, {COMPILED}")
     made = materialise(made, "rules-compiled")
     rank = F.struct(F.coalesce("scope", F.lit("")).alias("scope"), "id").alias("rank")
     rules = made.filter("id is not null").select(rank, "_place", F.struct(*COLUMNS).alias("r"))
     last = rules.groupBy("rank").agg(F.max("_place").alias("_place"))
     # rules that are disabled, unusable or do nothing have no decision
     held = rules.join(last.hint("merge"), ["rank", "_place"], "left_semi").filter("r.ends is not null").select("rank", "r.*")
-    programs, rest = numbered(held, "rank")
-    programs = materialise(programs.select("rank", F.col("id").alias("rule_id"), "ends", "keep", "rate", "salt", "program"), "rule-programs")
+    rest = posted(held, "rank")
+    programs = materialise(held.select("rank", F.col("id").alias("rule_id"), "ends", "keep", "rate", "salt", numbered(rest[1]).alias("program")), "rule-programs")
     return RuleIndex(programs, *rest, made.filter("error is not null").select("scope", "body", "error"))
 
 
@@ -341,11 +362,14 @@ def _part_keys(number: int, text: Column) -> Column:
 
 
 def _row_keys(index: RuleIndex, facts: Column) -> Column:
-    """The keys of a row: value, parts and presence of each field, and the key of all rows."""
-    found = [F.array(_key(EVERY, None, F.lit("")))]
+    """The keys of a row: value, parts and presence of each field, and the key of all rows, each if some posting is of its kind."""
+    found = [F.array(_key(EVERY, None, F.lit(""))) if f"{EVERY}:" in index.kinds else F.array().cast("array<string>")]
     for number in index.fields.values():
         f = F.get(facts, F.lit(number))
-        found.append(F.array(F.when(f["present"], _key(PRESENT, number, F.lit(""))), _key(VALUE, number, f["plain"], "t"), _key(VALUE, number, _number_key(f["num"]), "n")))
+        if f"{PRESENT}:{number}" in index.kinds:
+            found.append(F.array(F.when(f["present"], _key(PRESENT, number, F.lit("")))))
+        if f"{VALUE}:{number}" in index.kinds:
+            found.append(F.array(_key(VALUE, number, f["plain"], "t"), _key(VALUE, number, _number_key(f["num"]), "n")))
         if number in index.parts:
             found.append(_part_keys(number, f["text"]))
     return F.array_distinct(F.array_compact(F.concat(*found)))

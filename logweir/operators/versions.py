@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logweir.functions.fields import Entry
@@ -116,29 +117,30 @@ _COMPILED = f"rule_id string, version long, created_at timestamp, {X.COMPILED}"
 @dataclass(frozen=True)
 class VersionIndex:
     index: X.RuleIndex  # postings by rule, whatever the version
-    versions: DataFrame  # programs by rule, version and start
+    versions: DataFrame  # programs by rule, version and start, fields as each rule numbers them
     rejected: DataFrame  # versions whose content is no decision rule: rule_id, version, error
 
 
+def _mark(start: pa.Scalar) -> str:
+    return f"!{start.as_py().replace(tzinfo=None)}" if start.is_valid else "!"
+
+
 def _compile(entry: Entry, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[str, str] = {}
+        for rows in batches:
             out = []
-            for rule_id, version, start, content in frame.itertuples(index=False):
-                start = None if pd.isna(start) else start.to_pydatetime()
-                row = (rule_id, version, start)
+            for start, content in zip(rows["created_at"], rows["content"].to_pylist(), strict=True):
                 try:
                     rule = Rule.parse(content)
                     # the version in force tells itself from the others by its start
-                    decision = X._decision(replace(rule, id=f"{rule.id}!{start or ''}"), seed)
+                    decision = X._decision(rule, seed, partial(_mark, start))
                 except X.UNUSABLE as error:
-                    out.append((*row, *X.without_effect(entry, None, str(error))))
-                    continue
-                if not rule.enabled or decision is None:  # in force, but without effect
-                    out.append((*row, *X.without_effect(entry, rule.id)))
+                    out.append(X.without_effect(entry, None, str(error)))
                     continue
-                out.append((*row, *X.compiled(entry, rule, decision)))
-            yield pd.DataFrame(out, columns=["rule_id", "version", "created_at", *X.COLUMNS])
+                # a version that is disabled or does nothing is in force, but without effect
+                out.append(X.compiled(entry, rule, decision, kinds) if rule.enabled and decision is not None else X.without_effect(entry, rule.id))
+            yield X.batch(rows.select(["rule_id", "version", "created_at"]), out)
 
     return run
 
@@ -153,10 +155,10 @@ def index_versions(versions: DataFrame, like: DataFrame, options: Options = Opti
     ship(spark)
     entry = Entry.of(like, options.fields, options.shadow)
     rows = versions.select("rule_id", "version", F.col("created_at").cast("timestamp").alias("created_at"), "content")
-    made = materialise(rows.mapInPandas(_compile(entry, options.seed), _COMPILED), "rule-versions")
-    made, rest = X.numbered(made, "rule_id")
-    programs = materialise(made.select("rule_id", "version", "created_at", "id", "ends", "keep", "rate", "salt", "program"), "rule-programs")
-    return VersionIndex(X.RuleIndex(programs, *rest), programs, made.filter("error is not null").select("rule_id", "version", "error"))
+    made = X.spread(rows, "rule_id", "version", "created_at").mapInArrow(_compile(entry, options.seed), _COMPILED)
+    made = materialise(made, "rule-versions")
+    programs = made.select("rule_id", "version", "created_at", "id", "ends", "keep", "rate", "salt", "program", "fields")
+    return VersionIndex(X.RuleIndex(programs, *X.posted(made, "rule_id")), programs, made.filter("error is not null").select("rule_id", "version", "error"))
 
 
 def apply_versions(df: DataFrame, versions: VersionIndex, options: Options = Options(), *, time: str = "timestamp", drop: bool = True) -> DataFrame:
@@ -172,12 +174,15 @@ def apply_versions(df: DataFrame, versions: VersionIndex, options: Options = Opt
         out = X._sealed(df, index, options).withColumn("_time", moment)
         return out.withColumns({"_one": F.xxhash64("_one", "_time"), "_two": F.xxhash64(F.lit(3), "_two", "_time")})
 
-    rows = sealed().select("_one", "_two", "_row", "_time", "_facts").dropDuplicates(["_one", "_two"])
-    candidates = X.candidates(rows, index, "_one", "_two", "_time")
-    starts = versions.versions.select("rule_id", "version", "created_at")
+    # both are read more than once, and their columns cost more than their bytes
+    rows = materialise(sealed().select("_one", "_two", "_row", "_time", "_facts").dropDuplicates(["_one", "_two"]), "rule-rows")
+    candidates = materialise(X.candidates(rows, index, "_one", "_two", "_time"), "rule-candidates")
+    # versions of rules that no row could match play no part
+    programs = materialise(versions.versions.join(candidates.select("rule_id").distinct(), "rule_id", "left_semi"), "rule-programs")
+    starts = programs.select("rule_id", "version", "created_at")
     met = as_of(candidates, starts, ["rule_id"], F.col("_time"), F.col("created_at"), ["version"])
     met = met.filter("value is not null").select("_one", "_two", "rule_id", F.col("value.version").alias("version"), F.col("value.created_at").alias("created_at"))
-    met = met.join(versions.versions.hint("merge"), ["rule_id", "version", "created_at"]).join(rows, ["_one", "_two"]).filter(X.run_program(F.col("program"), F.col("_facts")))
+    met = met.join(programs.hint("merge"), ["rule_id", "version", "created_at"]).join(rows, ["_one", "_two"]).filter(X.run_program(X.numbered(index.fields), F.col("_facts")))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "_row", "salt")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     choice = F.struct("id", "version", F.when(F.col("rate").isNull(), F.col("keep")).otherwise(drawn < F.col("rate")).alias("keep"))
     decided = met.groupBy("_one", "_two").agg(F.min(F.when(F.col("ends"), choice)).alias("_first"), F.max(F.when(~F.col("ends"), choice)).alias("_last"))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.operators import asof
 from logweir.operators.asof import as_of
 
 START = datetime.datetime(2024, 1, 1)
@@ -43,3 +44,19 @@ def test_a_hot_moment_goes_to_many_tasks(spark):
     assert got.groupBy("value.v").count().collect()[0].asDict() == {"v": "new", "count": 50_000}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("hot", [20_000, 32])
+def test_values_go_only_where_rows_are(spark, monkeypatch, hot):
+    """A value is there once for a block of few rows, once per part for one of very many, and not at all for a block without rows."""
+    monkeypatch.setattr(asof, "HOT", hot)
+    left = spark.range(400).select("id", F.lit(1).alias("k"), F.lit(START + datetime.timedelta(days=50)).alias("at"))
+    start = F.timestamp_seconds(F.unix_timestamp(F.lit(str(START))) + F.col("id") * 3600)
+    right = spark.range(24 * 100).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), start.alias("since"), F.col("id").alias("v"))
+    laid = asof._laid_out(left, right, ["k"], F.col("at"), F.col("since"), [], 86_400)
+    copies = laid.filter("_kind < 2").groupBy("_kind").count().collect()
+    # all 400 rows are of one moment; the block has 24 values and one from before
+    salts = laid.filter("_kind = 2").select("_salt").distinct().count()
+    assert {r["_kind"]: r["count"] for r in copies} == {0: salts, 1: 24 * salts} and (salts == 1 if hot > 400 else salts > 8)
+    got = as_of(left, right, ["k"], F.col("at"), F.col("since"))
+    assert got.groupBy("value.v").count().collect() == [(50 * 24, 400)]

@@ -67,3 +67,12 @@ def test_many_versions_and_bad_ones(spark):
 def test_no_versions(spark):
     logs = views.logs(spark, FOLDER)
     assert V.apply_versions(logs, V.index_versions(spark.createDataFrame([], RULE_VERSION), logs)).count() == logs.count()
+
+
+def test_versions_of_one_file_are_compiled_by_many_tasks(spark):
+    """However few files hold a version table, all tasks compile it; parts of texts, numbers and versions in one moment are found as before."""
+    logs = views.logs(spark, FOLDER).limit(300)
+    table = spark.createDataFrame(version_rows(11, 40, 5), RULE_VERSION).coalesce(1)
+    index = V.index_versions(table, logs)
+    assert len(index.versions.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert kept(V.apply_versions(logs, index, drop=False)) == kept(V.apply_as_of(logs, V.in_force(table), drop=False))
